@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_vectors, ngram_join, packing, pii, sharding
+from . import exact_dedup, html_text, language_id, mixing, near_vectors, ngram_join, packing, pii, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,32 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.select("record_id", "key", "response_id", "verdict", shown.alias("headers"))
+
+
+OP8_SQL = r"""
+WITH bare AS (SELECT page_id, md5(coalesce(html, '')) AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z]+://', '') AS u FROM pages),
+keyed AS (SELECT page_id, tag, 1700000000 + page_id * 2 AS seen,
+  regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS q FROM bare),
+pages2 AS (SELECT page_id, tag, seen, place || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM keyed),
+revisits AS (SELECT page_id, key, seen + 3601 AS seen, CASE WHEN page_id % 7 = 0 THEN 'x' || tag ELSE 'W/' || tag END AS tag FROM pages2),
+met AS (SELECT r.page_id, r.key, r.seen, r.tag, p.page_id AS of_, p.tag AS of_tag FROM revisits r ASOF LEFT JOIN pages2 p ON r.key = p.key AND r.seen > p.seen)
+SELECT 'b' || page_id AS record_id, key, 'a' || of_ AS response_id,
+  CASE WHEN of_ IS NULL THEN 'unresolved' WHEN regexp_replace(tag, '^W/', '') = of_tag THEN 'resolved' ELSE 'changed' END AS verdict,
+  'content-type=' || CASE WHEN of_ IS NOT NULL AND regexp_replace(tag, '^W/', '') = of_tag THEN 'text/html' ELSE 'none' END
+    || ';date=' || strftime(make_timestamp(seen * 1000000), '%Y-%m-%d %H:%M:%S') || ';etag=' || tag AS headers
+FROM met
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,5 +98,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_near_vectors, op4_exact_dedup, op5_pii, op6_sharding, op9_best_fit_packing, op10_ngram_join)}
-SQL = {"op2_mixing": mixing.sql(), "op3_near_vectors": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_near_vectors, op4_exact_dedup, op5_pii, op6_sharding, op7_html_text, op8_warc_revisits, op9_best_fit_packing, op10_ngram_join)}
+SQL = {"op2_mixing": mixing.sql(), "op3_near_vectors": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_warc_revisits": OP8_SQL}

@@ -6,6 +6,8 @@ the others go on as single items, and a tree of rounds merges the items of ever
 
 from __future__ import annotations
 
+import array
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,9 @@ CAPACITY, FAN, TOLERANCE = 2048, 8, 8
 ITEMS = 200_000
 #: Distinct words whose ids a worker remembers.
 WORDS = 300_000
-#: White space of the tokenizer's pattern, as fixed by Unicode. No token crosses from one of these units into the next.
+#: Unicode's white space, and the pattern by which byte-level BPE splits texts. No token crosses from one of UNITS into the next.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
@@ -56,24 +59,49 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, word by word from memory; special tokens' strings are ordinary text."""
+    """Ids of a text as little-endian 32-bit bytes, word by word from memory; special tokens' strings are ordinary text.
+
+    For byte-level BPE that splits by PATTERN, whose tokens never cross from one of UNITS into the next.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        units = [UNITS.findall(t) for t in texts]
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        new = list({u for x in units for u in x if u not in known})
-        for a in range(0, len(new), 5000):
-            for u, e in zip(new[a : a + 5000], self.tokenizer.encode_batch_fast(new[a : a + 5000], add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in units]
+        self.model, self.split = Tokenizer.from_file(path).model.tokenize, regex.compile(PATTERN).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def word(self, word: str) -> bytes:
+        out, pieces = [], self.pieces
+        for piece in self.split(word):
+            if (ids := pieces.get(piece)) is None:
+                found = self.model(piece.encode().decode("latin-1").translate(self.letters))
+                ids = pieces[piece] = array.array("I", [x.id for x in found]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        words = self.words
+        if len(words) > WORDS:
+            words.clear()
+        if len(self.pieces) > WORDS // 3:
+            self.pieces.clear()
+        units = UNITS.findall(text)
+        for u in units:
+            if u not in words:
+                words[u] = self.word(u)
+        return b"".join(map(words.__getitem__, units))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker process keeps it, with the words that it knows."""
+    return Encoder(path)
 
 
 def default_tokenizer() -> str:
@@ -87,11 +115,11 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
+        known, part = encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
         found: list[list] = [[], [], [], [], []]
         for x in batches:
-            for doc, ids in zip(x.column("doc_id").to_pylist(), encoder.encode(x.column("text").to_pylist()), strict=True):
-                ids += b"\0\0\0\0"  # id 0 ends a document
+            for doc, text in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
+                ids = known.encode(text) + b"\0\0\0\0"  # id 0 ends a document
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
                 for k, end in enumerate(ends):
