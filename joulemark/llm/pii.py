@@ -114,10 +114,8 @@ def reliabilities(votes: list[tuple[tuple[int, ...], int]], prior: float) -> tup
         true = sum(c * n for c, (_, n) in zip(chance, votes, strict=True))
         share = min(0.99, max(0.01, (true + 1) / (total + 2)))
         # a labeler is taken to be better than chance, or true and false could change places
-        rates = [
-            (max(0.5, (sum(c * n * v[j] for c, (v, n) in zip(chance, votes, strict=True)) + 0.7) / (true + 1)) * 0.99, min(0.5, (sum((1 - c) * n * v[j] for c, (v, n) in zip(chance, votes, strict=True)) + 0.2) / (total - true + 1)) + 1e-3)
-            for j in range(len(LABELERS))
-        ]
+        vote = lambda j, of: sum(of(c) * n * v[j] for c, (v, n) in zip(chance, votes, strict=True))
+        rates = [(min(0.99, max(0.5, vote(j, lambda c: c) / max(true, 1e-9))), max(0.01, min(0.5, vote(j, lambda c: 1 - c) / max(total - true, 1e-9)))) for j in range(len(LABELERS))]
     return share, rates, chance
 
 
