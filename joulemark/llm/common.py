@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds at once, also where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # workers find this package also where the session was begun elsewhere
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
@@ -47,28 +50,35 @@ def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> Dat
     return left.join(right, on, how)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, component), component being the smallest node reachable. Nodes without an edge are absent.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every step joins the edges with the smallest
-    neighbour of each node, which a map-side aggregation finds, so that a hub's edges never meet in one task; the joins'
-    hot partitions are split. A checkpoint ends every step's lineage.
+    Contraction in random order: in each round every node goes into whichever of itself and its neighbours comes first
+    by a hash that changes with the round, and edges between what remains go on. That leaves a fraction of the nodes of
+    any graph, a long path too. First neighbours are found by map-side aggregation, so that a hub's edges never meet in
+    one task; joins' hot partitions are split. Every round is written, which ends its lineage.
     """
-    shared_folder(edges.sparkSession)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().checkpoint()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = small.select("x.*").where("a <> b").distinct().checkpoint()
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-edges")
+    steps: list[DataFrame] = []
+    for k in range(rounds):
+        if e.isEmpty():
             break
-        before = now
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        place = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("low"))
+        low = written(low.select("node", F.least("low", place("node")).getField("x").alias("into")), "components-step")
+        steps.append(low)
+        a, b = low.toDF("a", "_a"), low.toDF("b", "_b")
+        e = lookup(lookup(e, a, "a"), b, "b").where("_a <> _b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct()
+        e = written(e, "components-edges")
     else:
         raise RuntimeError("components have not settled")
-    inner = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return inner.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    if not steps:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # from the last round back: where a node's target went
+    into = steps[-1]
+    for low in reversed(steps[:-1]):
+        later = into.toDF("into", "_into")
+        into = written(lookup(low, later, "into").select("node", F.coalesce("_into", "into").alias("into")), "components-into")
+    least = written(into.groupBy("into").agg(F.min("node").alias("component")), "components-least")
+    return lookup(into, least, "into").select("node", "component")

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, lookup, new_path, small_batches, written
+from .common import connected_components, lookup, small_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Buckets in which shingles are counted, to put frequent ones last; sets of a tree; members of a task's group.
 BUCKETS, PARTS = 1 << 18, 32
 GROUP = 256
+#: Tasks of a step at least; cells of a tree's table, about.
+TASKS, CELLS = 64, 500_000
 #: Distinct words whose hashes a worker remembers.
 KNOWN = 500_000
 
@@ -77,90 +79,92 @@ def prefix_length(n, percent: int = PERCENT):
 
 
 class PrefixTree:
-    """Ordered sequences (the first elements of sets of sizes n) as a tree, level by level: token, parent, the least and
-    largest size below, and the rows below, which lie together as rows are sorted."""
+    """The prefixes of many groups of sets as trees, one for each group, level by level.
 
-    def __init__(self, sequences: list[np.ndarray], sizes: np.ndarray):
-        order = sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">u8").tobytes())
+    Of a prefix only shingles that other prefixes have too are kept (tokens), with their places in the whole set (at);
+    known says how long the prefix is and last what it ends with. A node has a token, its parent (a group, at the top),
+    the least and largest size and the least place below, and its rows, which lie together as rows are sorted.
+    """
+
+    def __init__(self, group: np.ndarray, tokens: list[np.ndarray], at: list[np.ndarray], size: np.ndarray, known: np.ndarray, last: np.ndarray):
+        order = sorted(range(len(tokens)), key=lambda i: (group[i], tokens[i].astype(">u8").tobytes()))
         self.rows = np.array(order, np.int64)
-        self.length = np.array([len(sequences[i]) for i in order], np.int64)
-        self.sizes = np.asarray(sizes, np.int64)[self.rows]
-        width = int(self.length.max())
-        table = np.zeros((len(order), width), np.uint64)
+        self.length = np.array([len(tokens[i]) for i in order], np.int64)
+        self.group, self.size, self.known, self.last = (np.asarray(v)[self.rows] for v in (group, size, known, last))
+        width = int(self.length.max(initial=0))
+        table, places = np.zeros((len(order), width), np.int64), np.zeros((len(order), width), np.int64)
         for r, i in enumerate(order):
-            table[r, : self.length[r]] = sequences[i]
+            table[r, : self.length[r]], places[r, : self.length[r]] = tokens[i], at[i]
         inside = np.arange(width) < self.length[:, None]
         new = np.ones_like(inside)
-        new[1:] = np.logical_or.accumulate((table[1:] != table[:-1]) | ~inside[:-1], axis=1)
-        self.levels, above = [], np.zeros(len(order), np.int64)
+        new[1:] = np.logical_or.accumulate((table[1:] != table[:-1]) | ~inside[:-1] | (self.group[1:] != self.group[:-1])[:, None], axis=1)
+        self.levels, self.groups = [], np.unique(self.group)
+        above, nodes = np.searchsorted(self.groups, self.group), len(self.groups)
         for d in range(width):
             rows = np.flatnonzero(inside[:, d])
-            first = new[rows, d] | np.r_[True, np.diff(rows) > 1]
+            first = new[rows, d]
+            first[0] = True
             start = np.flatnonzero(first)
-            node = np.cumsum(first) - 1
-            low, high = np.minimum.reduceat(self.sizes[rows], start), np.maximum.reduceat(self.sizes[rows], start)
+            low, high, least = np.minimum.reduceat(self.size[rows], start), np.maximum.reduceat(self.size[rows], start), np.minimum.reduceat(places[rows, d], start)
             begin = rows[start]
             end = np.r_[rows[start[1:] - 1], rows[-1]] + 1
-            parent = above[begin]
-            self.levels.append((table[begin, d], parent, low, high, begin, end, np.searchsorted(parent, np.arange(above.max() + 2 if d else 2))))
-            above = np.zeros(len(order), np.int64)
-            above[rows] = node
-
-    def walk(self, probes: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (probe, row of the sequences) whose sets may reach the threshold, going by what is known of them."""
-        sizes = np.asarray(sizes, np.int64)
-        flat = np.concatenate(probes)
-        tokens = np.unique(np.concatenate([flat, *(x[0] for x in self.levels)]))
-        length = np.array([len(p) for p in probes], np.int64)
+            children = np.searchsorted(above[begin], np.arange(nodes + 1))
+            self.levels.append((table[begin, d], low, high, least, begin, end, children))
+            above = np.full(len(order), -1)
+            above[rows] = np.cumsum(first) - 1
+            nodes = len(start)
+
+    def walk(self, group: np.ndarray, tokens: list[np.ndarray], at: list[np.ndarray], size: np.ndarray, known: np.ndarray, last: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (probe, row as given) of one group whose sets may reach the threshold by what is known of them."""
+        size, none = np.asarray(size, np.int64), np.zeros(0, np.int64)
+        length = np.array([len(p) for p in tokens], np.int64)
+        if not self.levels or not length.sum():
+            return none, none
+        flat, places = np.concatenate(tokens), np.concatenate(at)
+        every = np.unique(np.concatenate([flat, *(x[0] for x in self.levels)]))
+        keys = np.repeat(np.arange(len(tokens)), length) * len(every) + np.searchsorted(every, flat)
         start = np.cumsum(length) - length
-        keys = np.repeat(np.arange(len(probes)), length) * len(tokens) + np.searchsorted(tokens, flat)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        token, parent, low, high, begin, end, _ = self.levels[0]
-        probe, node = (x.ravel() for x in np.meshgrid(np.arange(len(probes)), np.arange(len(token)), indexing="ij"))
+        node = np.searchsorted(self.groups, group)
+        fits = (node < len(self.groups)) & (self.groups[np.minimum(node, len(self.groups) - 1)] == group)
+        probe, node = np.flatnonzero(fits), node[fits]
         overlap = np.zeros(len(probe), np.int64)
-        for d, (token, _, low, high, begin, end, _) in enumerate(self.levels):
+        for d, (token, low, high, least, begin, end, children) in enumerate(self.levels):
+            # to the children, which share the overlap so far
+            count = children[node + 1] - children[node]
+            first = children[node]
+            probe, overlap = np.repeat(probe, count), np.repeat(overlap, count)
+            node = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             if not len(probe):
                 break
-            key = probe * len(tokens) + np.searchsorted(tokens, token[node])
-            at = np.searchsorted(keys, key)
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key)
-            passed = at - start[probe] + hit
+            key = probe * len(every) + np.searchsorted(every, token[node])
+            i = np.searchsorted(keys, key)
+            hit = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == key)
             overlap = overlap + hit
-            n = sizes[probe]
-            need = least_overlap(n, np.maximum(low[node], -(-percent * n // 100)), percent)
-            # the probe's known part may end before this token; what follows there is unknown
-            ended = (passed >= length[probe]) & ~hit & (length[probe] < n)
-            left = np.minimum(high[node] - d - np.where(ended, 0, 1), n - passed)
-            alive = (overlap + left >= need) & (100 * high[node] >= percent * n) & (percent * low[node] <= 100 * n)
-            for which, done in ((alive & ended, True), (alive & ~ended, False)):
-                p, v, o, x = probe[which], node[which], overlap[which], passed[which]
-                if done:  # all rows below, as far as their sizes allow
-                    count = end[v] - begin[v]
-                    row = np.repeat(begin[v], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    p, o, x = np.repeat(p, count), np.repeat(o, count), np.repeat(x, count)
-                    rest = self.sizes[row] - d
-                else:  # the rows that end here come first below a node
-                    row = begin[v]
-                    here = self.length[row] == d + 1
-                    same = [(p[here], row[here], o[here], x[here])]
-                    while here.any():  # rows of equal sequences
-                        row = row + 1
-                        here = here & (row < end[v]) & (self.length[np.minimum(row, len(self.length) - 1)] == d + 1)
-                        same.append((p[here], row[here], o[here], x[here]))
-                    probe, node, overlap = p, v, o
-                    p, row, o, x = (np.concatenate(z) for z in zip(*same, strict=True))
-                    rest = self.sizes[row] - d - 1
-                fine = o + np.minimum(rest, sizes[p] - x) >= least_overlap(sizes[p], self.sizes[row], percent)
-                fine &= (100 * np.minimum(sizes[p], self.sizes[row]) >= percent * np.maximum(sizes[p], self.sizes[row]))
+            before = i - 1 + hit  # the probe's last token up to this one
+            passed = np.where(before >= start[probe], places[np.maximum(before, 0)] + 1, 0)
+            n, lo, hi = size[probe], low[node], high[node]
+            need = least_overlap(n, np.maximum(lo, -(-percent * n // 100)), percent)
+            # beyond the end of the probe's prefix a token may or may not be in its set
+            unknown = (token[node] > last[probe]) & (known[probe] < n)
+            alive = (unknown | (overlap + np.minimum(hi - least[node] - 1, n - passed) >= need)) & (100 * hi >= percent * n) & (percent * lo <= 100 * n)
+            probe, node, overlap = probe[alive], node[alive], overlap[alive]
+            # the rows that end here come first below a node; several, where prefixes are equal
+            row = begin[node]
+            p, o, stop = probe, overlap, end[node]
+            while len(row):
+                here = self.length[row] == d + 1
+                p, o, row, stop = p[here], o[here], row[here], stop[here]
+                # what follows the prefix that ends first is unknown; all before it is counted
+                shorter = last[p] <= self.last[row]
+                rest = np.where(shorter, size[p] - known[p], self.size[row] - self.known[row])
+                fine = (o + rest >= least_overlap(size[p], self.size[row], percent)) & (100 * np.minimum(size[p], self.size[row]) >= percent * np.maximum(size[p], self.size[row]))
                 out.append((p[fine], self.rows[row[fine]]))
-            if d + 1 < len(self.levels):
-                children = self.levels[d + 1][6]
-                a, b = children[np.minimum(node, len(children) - 1)], children[np.minimum(node + 1, len(children) - 1)]
-                count = np.where(node + 1 < len(children), b - a, 0)
-                probe, overlap = np.repeat(probe, count), np.repeat(overlap, count)
-                node = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                row = row + 1
+                more = row < stop
+                p, o, row, stop = p[more], o[more], row[more], stop[more]
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         return np.concatenate([p for p, _ in out]), np.concatenate([r for _, r in out])
 
 
@@ -218,8 +222,30 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
     return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
-def _sequences(x: pd.Series) -> list[np.ndarray]:
-    return [np.asarray(v, np.int64).view(np.uint64) for v in x]
+def _dealt(members: DataFrame, keys: list[str], count: int, rows: int) -> DataFrame:
+    """members with bucket: groups of keys dealt to tasks of about so many rows."""
+    return members.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(max(TASKS, -(-count // rows)))))
+
+
+def _given(x: pd.DataFrame, group: np.ndarray) -> tuple:
+    return group, [np.asarray(v, np.int64) for v in x["tokens"]], [np.asarray(v, np.int64) for v in x["at"]], x["n"].to_numpy(), x["known"].to_numpy(), x["last"].to_numpy()
+
+
+def _walked(x: pd.DataFrame, group: np.ndarray, indexed: np.ndarray, probing: np.ndarray, percent: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Pairs of rows of x (indexed, probing) that pass, a few groups at a time, so that a tree's table stays small."""
+    length = x["tokens"].map(len).to_numpy()
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+    size, widest = np.diff(np.r_[starts, len(order)]), np.maximum.reduceat(length[order], starts) if len(order) else np.zeros(0, np.int64)
+    by_width = np.argsort(widest, kind="stable")
+    cells = np.cumsum((size * widest)[by_width]) // CELLS
+    for part in np.split(by_width, np.flatnonzero(np.diff(cells)) + 1):
+        own = np.concatenate([order[starts[g] : starts[g] + size[g]] for g in part]) if len(part) else order[:0]
+        a, b = own[indexed[own]], own[probing[own]]
+        if len(a) and len(b):
+            tree = PrefixTree(*_given(x.iloc[a], group[a]))
+            p, r = tree.walk(*_given(x.iloc[b], group[b]), percent)
+            yield x.iloc[a[r]], x.iloc[b[p]]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -230,29 +256,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "ngram-parts")
     own = lookup(pairs, parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("s"), F.col("a").alias("id"))
     probes = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), F.col("b").alias("id"))
-    members = own.unionByName(probes).join(texts, "id")
+    members = _dealt(own.unionByName(probes), ["b", "s"], pairs.count(), 2000).join(texts, "id")
 
-    def check(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        shingles, b = Shingler(words), key[0]
-        ids = x["id"].to_numpy()
-        sets = [shingles(t) for t in x["text"]]
-        probes = [s for s, i in zip(sets, ids, strict=True) if i == b]
-        linked = set()
-        for s, i in zip(sets, ids, strict=True):
-            for p in probes:
-                both = len(np.intersect1d(s, p, assume_unique=True))
-                if i != b and 100 * both >= percent * (len(s) + len(p) - both) and both:
-                    linked.add(i)
-        return pd.DataFrame({"a": sorted(linked), "b": b}, dtype=np.int64)
+    def check(x: pd.DataFrame) -> pd.DataFrame:
+        shingles, out = Shingler(words), []
+        ids, b = x["id"].to_numpy(), x["b"].to_numpy()
+        for (of, _), rows in x.groupby(["b", "s"]).indices.items():
+            sets = {}
+            for r in rows:
+                sets[r] = shingles(x["text"].iat[r])
+            probes = [sets[r] for r in rows if ids[r] == of]
+            for r in rows:
+                if ids[r] != of and any(_reaches(sets[r], p, percent) for p in probes):
+                    out.append((ids[r], of))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
-    return members.groupBy("b", "s").applyInPandas(check, "a long, b long")
+    return members.groupBy("bucket").applyInPandas(check, "a long, b long").distinct()
+
+
+def _reaches(s: np.ndarray, p: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, p, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(s) + len(p) - both)
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Two documents link when 100 x common shingles >= percent x shingles of either. Null, empty and wordless texts have
-    no shingles and link with nothing. Rows that repeat a doc_id are one document, with the component of both; a null
+    no shingles and link with nothing. Rows that repeat a doc_id are one document, with the component of all; a null
     doc_id links with nothing and has no component. An empty table gives an empty result; extra columns are not read.
     Shingles are compared by 56-bit hashes.
     """
@@ -261,94 +292,93 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(_summaries(docs, words), "ngram-summaries")
     own = found.where("part is null").select("doc_id", "n", "digest")
-    classes = written(own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies")), "ngram-classes")
+    classes = written(own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "ngram-classes")
     levels = _levels(found)
     prefixes = _prefixes(docs.where("doc_id is not null"), levels, words, percent)
     prefixes = written(prefixes.where("n > 0").join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "cls"), "ngram-prefixes")
 
-    postings = prefixes.select("cls", "n", F.explode("prefix").alias("token"))
+    # of the prefixes, what several sets have
+    postings = prefixes.select("cls", "n", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("at", "token"))
     shared = written(postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token"), "ngram-shared")
-    met = written(postings.join(shared, "token"), "ngram-met")
+    met = postings.join(shared, "token").groupBy("cls", "n", "known", "last").agg(F.array_sort(F.collect_list(F.struct("token", "at"))).alias("x"))
+    met = written(met.select("cls", "n", "known", "last", F.col("x.token").alias("tokens"), F.col("x.at").alias("at")), "ngram-met")
 
-    edges = _by_pivot(docs, met, prefixes, words, percent)
-    pivots, links = edges
+    pivots, links = _by_pivot(docs, met, words, percent)
     component = written(connected_components(links), "ngram-first")
-    pairs = _between(met, prefixes, component, percent)
+    pairs = _between(met, component, percent)
     pairs = written(pairs.join(pivots, ["a", "b"], "left_anti"), "ngram-pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(_verified(docs, pairs, words, percent))
-        component = connected_components(written(links, "ngram-links"))
-    # a document is in the component of its set, and of each set that rows of its doc_id have
+        links = written(links.unionByName(_verified(docs, pairs, words, percent)), "ngram-links")
+        component = written(connected_components(links), "ngram-second")
     classed = lookup(own, classes, "digest")
     if not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # a document is in the component of each set that rows of its doc_id have
         more = classed.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-        component = connected_components(written(links.unionByName(more), "ngram-links"))
-        classed = classed.withColumn("cls", F.coalesce("doc_id"))
-    component = written(component.select(F.col("node").alias("cls"), "component"), "ngram-components")
-    out = lookup(classed, component, "cls")
+        component = written(connected_components(links.unionByName(more)), "ngram-third")
+        classed = classed.withColumn("cls", F.col("doc_id"))
+    out = lookup(classed, component.select(F.col("node").alias("cls"), "component"), "cls")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
 
-def _by_pivot(docs: DataFrame, met: DataFrame, prefixes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _band() -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(0.1)).alias("band")
+
+
+def _by_pivot(docs: DataFrame, met: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of documents with the pivots of their shingles that were walked, and those that link.
 
     Pivots go by shingle and size band; among near copies nearly all have the same one, so the pairs are about as many
     as the documents."""
-    count = met.groupBy("cls").agg(F.count("*").alias("k"))
-    alone = written(count.join(prefixes.select("cls", F.size("prefix").alias("p")), "cls").select("cls", (F.col("p") - F.col("k")).alias("alone")), "ngram-alone")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(0.1)).alias("band")
-    full = written(met.join(alone, "cls").select("token", band, "cls", "n", "alone"), "ngram-bands")
-    pivot = written(full.groupBy("token", "band").agg(F.min(F.struct("alone", "cls", "n")).alias("v"), F.count("*").alias("c")).where("c > 1").select("token", "band", F.col("v.cls").alias("b"), F.col("v.n").alias("m")), "ngram-pivots")
+    full = met.select("cls", "n", _band(), (F.col("known") - F.size("tokens")).alias("alone"), F.explode("tokens").alias("token"))
+    pivot = full.groupBy("token", "band").agg(F.min(F.struct("alone", "cls", "n")).alias("v"), F.count("*").alias("c")).where("c > 1")
+    pivot = written(pivot.select("token", "band", F.col("v.cls").alias("b"), F.col("v.n").alias("m")), "ngram-pivots")
     pairs = full.join(pivot, ["token", "band"]).where(F.col("cls") != F.col("b"))
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("cls").alias("a"), "b").distinct()
     pairs = written(pairs, "ngram-pivot-pairs")
     parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "ngram-pivot-parts")
     own = lookup(pairs, parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("s"), F.col("a").alias("cls"))
     probes = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), F.col("b").alias("cls"))
-    members = own.unionByName(probes).join(prefixes, "cls")
-
-    def walk(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        b = key[0]
-        probe = (x["cls"] == b).to_numpy()
-        others = x[~probe]
-        if others.empty or not probe.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        tree = PrefixTree(_sequences(others["prefix"]), others["n"].to_numpy())
-        _, rows = tree.walk(_sequences(x["prefix"][probe]), x["n"][probe].to_numpy(), percent)
-        return pd.DataFrame({"a": np.unique(others["cls"].to_numpy()[rows]), "b": b}, dtype=np.int64)
-
-    passed = written(members.groupBy("b", "s").applyInPandas(walk, "a long, b long"), "ngram-passed")
+    members = _dealt(own.unionByName(probes), ["b", "s"], pairs.count(), 5000).join(met, "cls")
+
+    def walk(x: pd.DataFrame) -> pd.DataFrame:
+        group = x.groupby(["b", "s"]).ngroup().to_numpy()
+        probing = (x["cls"] == x["b"]).to_numpy()
+        out = [pd.DataFrame({"a": a["cls"].to_numpy(), "b": b["cls"].to_numpy()}) for a, b in _walked(x, group, ~probing, probing, percent)]
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    passed = written(members.groupBy("bucket").applyInPandas(walk, "a long, b long"), "ngram-passed")
     return pairs, written(_verified(docs, passed, words, percent), "ngram-links")
 
 
-def _between(met: DataFrame, prefixes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes and pass the walk, both ways round."""
-    own = lookup(met, component.withColumnRenamed("node", "cls"), "cls").select("token", "cls", "n", F.coalesce("component", "cls").alias("component"))
+def _between(met: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a shingle of their prefixes and pass the walk."""
+    own = lookup(met, component.withColumnRenamed("node", "cls"), "cls").withColumn("component", F.coalesce("component", "cls"))
     own = written(own, "ngram-own")
-    open_ = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high")
+    flat = own.select("cls", "component", "n", _band(), F.explode("tokens").alias("token"))
+    open_ = flat.groupBy("token").agg(*(f(c).alias(f"{c}_{k}") for c in ("component", "n", "band") for k, f in (("low", F.min), ("high", F.max))), F.count("*").alias("k")).where("component_low <> component_high")
+    # of two alone, those of a band have been walked, one being the pivot, and sizes may be too far apart
+    open_ = open_.where((F.col("k") > 2) | ((F.col("band_low") < F.col("band_high")) & (100 * F.col("n_low") >= percent * F.col("n_high"))))
     open_ = written(open_.select("token", F.ceil(F.col("k") / GROUP).cast("long").alias("blocks")), "ngram-open")
-    own = own.join(open_, "token")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     # every member goes to the tasks of its block with each block
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    own = own.select("token", "cls", "component", block.alias("own"), other.alias("other"))
-    own = own.select("token", "cls", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
-    members = own.join(prefixes, "cls")
-
-    def walk(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        same = key[1] == key[2]
-        first = x if same else x[x["first"]]
-        second = x if same else x[~x["first"]]
-        none = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        if first.empty or second.empty or x["component"].nunique() < 2:
-            return none
-        if same:  # of two components, one at least is not the largest
-            first = first[first["component"] != x["component"].mode().iloc[0]]
-        tree = PrefixTree(_sequences(second["prefix"]), second["n"].to_numpy())
-        p, r = tree.walk(_sequences(first["prefix"]), first["n"].to_numpy(), percent)
-        fine = first["component"].to_numpy()[p] != second["component"].to_numpy()[r]
-        a, b = first["cls"].to_numpy()[p[fine]], second["cls"].to_numpy()[r[fine]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}, dtype=np.int64).drop_duplicates()
-
-    pairs = members.groupBy("token", "x", "y").applyInPandas(walk, "a long, b long").distinct()
-    return pairs
+    sent = flat.select("cls", "token").join(open_, "token").select("token", "cls", block.alias("own"), other.alias("other"))
+    sent = written(sent.select("token", "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second")), "ngram-sent")
+    members = _dealt(sent, ["token", "x", "y"], sent.count(), 5000).join(own, "cls")
+
+    def walk(x: pd.DataFrame) -> pd.DataFrame:
+        group = x.groupby(["token", "x", "y"]).ngroup().to_numpy()
+        component = x["component"].to_numpy()
+        # of two components, one at least is not a group's largest; within one block those alone need to probe
+        count = pd.DataFrame({"g": group, "c": component, "n": 1}).groupby(["g", "c"], as_index=False)["n"].sum()
+        largest = count.sort_values(["g", "n"]).drop_duplicates("g", keep="last").set_index("g")["c"].reindex(group).to_numpy()
+        same = (x["x"] == x["y"]).to_numpy()
+        probing = x["second"].to_numpy() & ~(same & (component == largest))
+        out = []
+        for a, b in _walked(x, group, x["first"].to_numpy(), probing, percent):
+            p, q = a["cls"].to_numpy(), b["cls"].to_numpy()
+            fine = a["component"].to_numpy() != b["component"].to_numpy()
+            out.append(pd.DataFrame({"a": np.maximum(p, q)[fine], "b": np.minimum(p, q)[fine]}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    return members.groupBy("bucket").applyInPandas(walk, "a long, b long").distinct()
