@@ -28,12 +28,20 @@ BATCH = 8192
 #: HTML's elements that have no end tag, that hold no text to read, that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object canvas math".split())
+#: Those of RAW that only an end tag or the page's end closes.
+SCRIPTS = frozenset(("script", "style"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open one of their kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[a-z]+")
+ENDS = re.compile(r"[\s\"']")
+
+
+def _closed(given: str) -> bool:
+    """Whether a tag's attributes end in a slash that is not part of a bare value."""
+    return given.endswith("/") and "=" not in ENDS.split(given)[-1]
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
@@ -50,11 +58,10 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 out.append((joined, path, linked))
             text, linked = [], 0
 
-    at, skip = 0, 0
-    for m in TOKENS.finditer(page):
-        if m.start() < skip:
-            continue
-        name = m[2]
+    here, unclosed = 0, set()
+    while here < len(page):
+        m = TOKENS.match(page, here)
+        here, name = m.end(), m[2]
         if name is None:
             if (s := m[0])[0] != "<" or s == "<":
                 if not text:
@@ -65,8 +72,14 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         name = name.lower()
         if name in RAW and not m[1]:
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, m.end())
-            skip = end.end() if end else len(page)
+            if name in SCRIPTS or not (_closed(m[3]) or name in unclosed):
+                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, here)
+                if end:
+                    here = end.end()
+                elif name in SCRIPTS:
+                    break
+                else:
+                    unclosed.add(name)  # nor is any after it, and what follows is the page's
             continue
         if name not in INLINE:
             flush()

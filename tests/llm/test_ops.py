@@ -247,6 +247,15 @@ def test_html():
     assert wrong / total < 0.01
 
 
+@pytest.mark.parametrize(("before", "after"), [
+    ("<script>for(i=0;i<n;i++){} // don't</script>", ""), ('<script>var a="<!--";</script>', ""), ("<style>a:after{content:'<b'}</style>", ""), ("<SCRIPT>a<b</SCRIPT >", ""),
+    ("<svg/>", ""), ('<svg class="i" />', ""), ("<svg>", ""), ("<iframe src=/>x</iframe>", ""), ("<noscript>a<b c='</noscript>", ""), ("", "<script>a <p>no</p>"), ("<canvas><canvas>", "<style>p{}"),
+])
+def test_html_text_after_raw_elements_stays(before, after):
+    found = html_text.blocks(f"{before}<article><p>First long paragraph, it's here.</p><p>second</p></article>{after}")
+    assert [t for t, *_ in found] == ["First long paragraph, it's here.", "second"]
+
+
 def test_html_gradients():
     """Backpropagation through time agrees with differences."""
     net = html_text.Labeller()
