@@ -59,16 +59,23 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, word by word from memory; special tokens' strings are ordinary text.
+    """Ids of a text as little-endian 32-bit bytes, word by word from memory.
 
-    For byte-level BPE that splits by PATTERN, whose tokens never cross from one of UNITS into the next.
+    ids() first splits a text at the tokenizer's added tokens; encode() takes what lies between, all of it as ordinary text. For byte-level BPE that splits by PATTERN, whose tokens never cross from one of UNITS into the next.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.model, self.split = Tokenizer.from_file(path).model.tokenize, regex.compile(PATTERN).findall
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.split = tokenizer.model.tokenize, regex.compile(PATTERN).findall
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
+            raise ValueError("added tokens that heed or take what stands beside them are not known here")
+        self.added = {k: array.array("I", [i]).tobytes() for k, (i, _) in added.items()}
+        # of those that begin at one place the longest counts
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         # byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on
@@ -85,6 +92,14 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
+    def ids(self, text: str) -> bytes:
+        """As the tokenizer's encode without a template's tokens."""
+        out, at = [], 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            out += self.encode(text[at : m.start()]), self.added[m[0]]
+            at = m.end()
+        return b"".join([*out, self.encode(text[at:])]) if out else self.encode(text)
+
     def encode(self, text: str) -> bytes:
         words = self.words
         if len(words) > WORDS:
@@ -119,7 +134,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         found: list[list] = [[], [], [], [], []]
         for x in batches:
             for doc, text in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
-                ids = known.encode(text) + b"\0\0\0\0"  # id 0 ends a document
+                ids = known.ids(text) + b"\0\0\0\0"  # id 0 ends a document
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
                 for k, end in enumerate(ends):
@@ -138,7 +153,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document's ids end with id 0; only documents longer than capacity are cut, the first piece taking what is odd.
+    An added token's string in a text is that token. A document's ids end with id 0; only documents longer than capacity are cut, the first piece taking what is odd.
     Null and empty texts are the id 0 alone. Repeated rows are packed as often as they come; a null doc_id stays null.
     An empty table gives an empty result; columns besides doc_id and text are not read.
     """

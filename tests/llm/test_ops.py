@@ -349,6 +349,17 @@ def test_ids_are_the_tokenizers(text):
     assert packing.encoder(packing.default_tokenizer()).encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "<|endoftext|><|endoftext|>  a\n <|endoftext|>", "a  <|endoftext|>'s", "<|endoftext|", "<|ENDOFTEXT|> <<|endoftext|>>"]
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(texts)}
+    assert list(ids[0]) == [437, 220, 50256, 1306, 0]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in out} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+
+
 def test_best_fit():
     bins, offsets, fill = packing.best_fit(np.array([5, 9, 1, 5, 10, 4]), 10)
     assert sorted(fill) == [4, 10, 10, 10] and bins[1] == bins[2] and bins[0] == bins[3] and offsets[2] == 9
