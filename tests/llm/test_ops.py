@@ -232,6 +232,14 @@ def test_sharding(spark, corpus, docs, shards):
         assert sum(at[a] != at[b] for a, b in same) < 0.4 * len(same)
 
 
+def test_sharding_gathers_groups_beside_a_large_one(spark):
+    texts = ["hot"] * 1000 + [f"group {i}" for i in range(150) for _ in range(2 + i % 5)] + [f"single {i}" for i in range(1400)]
+    out = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 20).toPandas()
+    assert sorted(out["doc_id"]) == list(range(len(texts))) and out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 1
+    shards = out.assign(text=[texts[i] for i in out["doc_id"]]).groupby("text")["shard"].nunique()
+    assert shards["hot"] <= 10 and (shards.drop("hot") == 1).all()
+
+
 def test_html():
     labeller = html_text.trained(600)
     page = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a>x<li><a>y</ul></nav>
