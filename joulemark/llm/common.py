@@ -1,23 +1,35 @@
-"""What the operators share: the shared folder, written intermediate tables, connected components."""
+"""What the operators share: the shared folder, written intermediate tables, free column names, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table of keys (at most 64 bytes each) up to which it may be broadcast: 13 MB at most.
 BROADCAST_ROWS = 200_000
+#: Edges that a task contracts at once.
+FOREST = 500_000
+
+_ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a temporary one serves a
+    local master (tests); on a cluster that would be another disk for each machine, so it is an error there."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="joulemark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -29,10 +41,39 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: the lineage ends there, and executors can be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: the lineage ends there, and executors can be lost. Its rows are counted
+    as they are written."""
+    path, seen = new_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _ROWS[out], _PATHS[out] = seen.get["n"], path
+    return out
+
+
+def rows(df: DataFrame) -> int:
+    """Of a written table without a job, else by a count."""
+    return _ROWS[df] if df in _ROWS else df.count()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Spark's file systems, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            remove(df.sparkSession, path)
+
+
+def free_name(name: str, *taken: Iterable[str]) -> str:
+    """name, or name with underscores in front, so that it is no column of taken (as Spark compares names: by lower case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -42,35 +83,72 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join with a written table that has a row for each key. It is broadcast if a count shows that it is small;
+def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: int | None = None) -> DataFrame:
+    """Join with a written table of n rows, one for each key. It is broadcast if its count shows that it is small;
     otherwise both sides are dealt by the key, and adaptive execution splits partitions of hot keys."""
-    if right.count() <= BROADCAST_ROWS:
+    if (rows(right) if n is None else n) <= BROADCAST_ROWS:
         right = F.broadcast(right)
     return left.join(right, on, how)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b) -> (node, component), component being the smallest node reachable. Nodes without an edge are absent.
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges a-b: every node that has a smaller one in its component, and the smallest."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = flat[: len(a)], flat[len(a) :], np.arange(len(nodes))
+    while True:  # hooking and halving of paths, vectorised
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        for end in (x, y):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
 
-    Contraction in random order: in each round every node goes into whichever of itself and its neighbours comes first
-    by a hash that changes with the round, and edges between what remains go on. That leaves a fraction of the nodes of
-    any graph, a long path too. First neighbours are found by map-side aggregation, so that a hub's edges never meet in
-    one task; joins' hot partitions are split. Every round is written, which ends its lineage.
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for x in batches:
+        held.append(x)
+        n += len(x)
+        if n >= FOREST:
+            a, b = forest(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("a", "b")))
+            yield pd.DataFrame({"a": a, "b": b})
+            held, n = [], 0
+    if n:
+        a, b = forest(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("a", "b")))
+        yield pd.DataFrame({"a": a, "b": b})
+
+
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """edges (a, b) of longs -> (node, component), component being the smallest node reachable. Nodes without an edge are absent.
+
+    Contraction in random order: in each round every task turns its edges into a forest of stars; then every node goes
+    into whichever of itself and its neighbours comes first by a hash that changes with the round, and edges between what
+    remains go on. That leaves a fraction of the nodes of any graph, a long path too. First neighbours are found by
+    map-side aggregation, so that a hub's edges never meet in one task; joins' hot partitions are split. Every round is
+    written, which ends its lineage, and is removed when the next has been. (60 rounds are enough for more nodes than
+    a long can number; not settling is an error, never a shorter result.)
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-edges")
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = written(e.mapInPandas(_contracted, "a long, b long").distinct(), "components-edges")
     steps: list[DataFrame] = []
     for k in range(rounds):
-        if e.isEmpty():
+        if not rows(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("low"))
         low = written(low.select("node", F.least("low", place("node")).getField("x").alias("into")), "components-step")
         steps.append(low)
-        a, b = low.toDF("a", "_a"), low.toDF("b", "_b")
-        e = lookup(lookup(e, a, "a"), b, "b").where("_a <> _b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct()
-        e = written(e, "components-edges")
+        n = rows(low)
+        more = lookup(lookup(e, low.toDF("a", "_a"), "a", n=n), low.toDF("b", "_b"), "b", n=n).where("_a <> _b")
+        more = more.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).mapInPandas(_contracted, "a long, b long")
+        before, e = e, written(more.distinct(), "components-edges")
+        discard(before)
     else:
         raise RuntimeError("components have not settled")
     if not steps:
@@ -79,6 +157,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     into = steps[-1]
     for low in reversed(steps[:-1]):
         later = into.toDF("into", "_into")
-        into = written(lookup(low, later, "into").select("node", F.coalesce("_into", "into").alias("into")), "components-into")
+        before, into = into, written(lookup(low, later, "into", n=rows(into)).select("node", F.coalesce("_into", "into").alias("into")), "components-into")
+        discard(before, low)
     least = written(into.groupBy("into").agg(F.min("node").alias("component")), "components-least")
-    return lookup(into, least, "into").select("node", "component")
+    out = written(lookup(into, least, "into").select("node", "component"), "components")
+    discard(into, least, e)
+    return out

@@ -6,8 +6,17 @@ was counted over all documents, then by hash. Sets that reach the threshold shar
 other prefixes walk it level by level, pairs on a common path sharing the overlap so far, and a subtree is left as soon
 as even all that remains could not lift the overlap to the threshold. What passes is compared by its whole sets.
 
-Documents with equal sets are one node. Large groups of near copies are first joined to a pivot of their shingle, the
-document that shares most, which leaves few pairs between different components; those are then all walked.
+A prefix is stored where each shingle that others have too is its first: from there on, TAIL of its shared shingles go
+along with their places, so a document's share of the trees grows with its prefix and not with the square of it. A pair is
+judged where it first meets; what lies before is known to differ, by the places. Besides, each document brings the
+parities of its whole set by WIDTH hashed classes at most: as many as differ between two sets, so many shingles at least
+are in one of them only, which drops pairs that cannot reach the threshold before they are written. Both are bounds
+that never drop a link; what passes is compared by whole sets.
+
+Documents with equal sets are one node. Of the partners that pass, each document first links with the nearest few (and
+with the pivots of a shingle that very many have), then, only where a shingle still joins different components, with
+more, and at last with all that are left in other components. So copies of one text cost as many pairs as there are
+copies, and no pair between different components is left out.
 """
 
 from __future__ import annotations
@@ -18,15 +27,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup, small_batches, written
+from .common import connected_components, discard, lookup, rows, small_batches, written
 
 WORDS, PERCENT = 3, 90
-#: Buckets in which shingles are counted, to put frequent ones last; sets of a tree; members of a task's group.
+#: Buckets in which shingles are counted, to put frequent ones last, and the parts in which the counts are added up.
 BUCKETS, PARTS = 1 << 18, 32
+#: Members of a shingle's group beyond which it is dealt to several tasks.
 GROUP = 256
+#: Shared shingles that are sent from a meeting place on; bits of a set's parities at most.
+TAIL, WIDTH = 8, 1024
+#: Partners that a document links with in the first round and in the second; the third takes all.
+NEAR, MORE = 4, 64
 #: Tasks of a step at least; cells of a tree's table, about.
 TASKS, CELLS = 64, 500_000
 #: Distinct words whose hashes a worker remembers.
@@ -206,20 +220,48 @@ def _levels(found: DataFrame) -> np.ndarray:
     return np.clip(np.ceil(12 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))), 0, 127).astype(np.uint8)
 
 
+def parities(shingles: np.ndarray, most: int = WIDTH) -> bytes:
+    """The parity of how many shingles fall into each of 64 to most classes, a power of two about as large as the set."""
+    width = min(most, max(64, 1 << max(0, len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(bits: list[bytes], p: np.ndarray, q: np.ndarray, chunk: int = 100_000) -> np.ndarray:
+    """Of pairs of rows (p, q): in how many classes their parities differ; the longer one is folded to the shorter."""
+    width = np.array([len(b) for b in bits], np.int64)
+    out, low = np.zeros(len(p), np.int64), np.minimum(width[p], width[q])
+    for w in np.unique(low):
+        of = np.flatnonzero(low == w)
+        used = np.unique(np.concatenate([p[of], q[of]]))
+        table = np.empty((len(used), w), np.uint8)
+        for k, i in enumerate(used):
+            b = np.frombuffer(bits[i], np.uint8)
+            while len(b) > w:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            table[k] = b
+        a, b = np.searchsorted(used, p[of]), np.searchsorted(used, q[of])
+        words = table.view(np.uint64)
+        for k in range(0, len(of), chunk):
+            out[of[k : k + chunk]] = np.bitwise_count(words[a[k : k + chunk]] ^ words[b[k : k + chunk]]).sum(axis=1)
+    return out
+
+
 def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for x in batches:
-            n, first = [], []
+            n, first, bits = [], [], []
             for t in x.column("text").to_pylist():
-                s = ordered(shingles(t), shared.value)
+                s = shingles(t)
                 n.append(len(s))
-                first.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "prefix"])
+                bits.append(parities(s))
+                first.append(ordered(s, shared.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, bits binary, prefix array<long>")
 
 
 def _dealt(members: DataFrame, keys: list[str], count: int, rows: int) -> DataFrame:
@@ -231,47 +273,85 @@ def _given(x: pd.DataFrame, group: np.ndarray) -> tuple:
     return group, [np.asarray(v, np.int64) for v in x["tokens"]], [np.asarray(v, np.int64) for v in x["at"]], x["n"].to_numpy(), x["known"].to_numpy(), x["last"].to_numpy()
 
 
-def _walked(x: pd.DataFrame, group: np.ndarray, indexed: np.ndarray, probing: np.ndarray, percent: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    """Pairs of rows of x (indexed, probing) that pass, a few groups at a time, so that a tree's table stays small."""
+def _walked(x: pd.DataFrame, group: np.ndarray, indexed: np.ndarray, probing: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of x (probing, indexed) that pass, a few groups at a time, so that a tree's table stays small."""
     length = x["tokens"].map(len).to_numpy()
     order = np.argsort(group, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
     size, widest = np.diff(np.r_[starts, len(order)]), np.maximum.reduceat(length[order], starts) if len(order) else np.zeros(0, np.int64)
     by_width = np.argsort(widest, kind="stable")
-    cells = np.cumsum((size * widest)[by_width]) // CELLS
+    cells = np.cumsum((size * widest * np.minimum(size, 64))[by_width]) // CELLS
     for part in np.split(by_width, np.flatnonzero(np.diff(cells)) + 1):
         own = np.concatenate([order[starts[g] : starts[g] + size[g]] for g in part]) if len(part) else order[:0]
         a, b = own[indexed[own]], own[probing[own]]
         if len(a) and len(b):
             tree = PrefixTree(*_given(x.iloc[a], group[a]))
             p, r = tree.walk(*_given(x.iloc[b], group[b]), percent)
-            yield x.iloc[a[r]], x.iloc[b[p]]
+            yield b[p], a[r]
+
+
+def near_pairs(x: pd.DataFrame, group: np.ndarray, indexed: np.ndarray, probing: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (probing p, indexed q) of a group whose sets may reach the threshold, with q's rank among p's partners:
+    pivots have -1, then comes the smallest document, then the others by how much their parities differ."""
+    doc, n, bits = x["cls"].to_numpy(), x["n"].to_numpy(), list(x["bits"])
+    pivot = x["pivot"].to_numpy() if "pivot" in x else np.zeros(len(x), bool)
+    before = x["before"].to_list()
+    found = []
+    for p, q in _walked(x, group, indexed, probing, percent):
+        fine = doc[p] != doc[q]
+        p, q = p[fine], q[fine]
+        if not len(p):
+            continue
+        # a pair that shares a shingle before meets there already
+        met = np.fromiter((not pivot[j] and bool(len(before[i]) and len(before[j]) and not set(before[i]).isdisjoint(before[j])) for i, j in zip(p, q, strict=True)), bool, len(p))
+        p, q = p[~met], q[~met]
+        far = apart(bits, p, q)
+        both = n[p] + n[q]
+        fine = far <= both - 2 * least_overlap(both, 0, percent)
+        found.append((p[fine], q[fine], far[fine]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    p, q, far = (np.concatenate(v) for v in zip(*found, strict=True))
+    far = np.where(pivot[q], -2, far)
+    least = np.full(len(x), np.iinfo(np.int64).max)
+    np.minimum.at(least, p[far >= 0], doc[q[far >= 0]])
+    far = np.where((far >= 0) & (doc[q] == least[p]), -1, far)
+    order = np.lexsort((doc[q], far, p))
+    p, q, far = p[order], q[order], far[order]
+    plain = far > -2
+    passed = np.cumsum(plain)
+    start = np.flatnonzero(np.r_[True, np.diff(p) > 0]) if len(p) else p
+    rank = passed - 1 - np.repeat(passed[start] - plain[start], np.diff(np.r_[start, len(p)]))
+    return p, q, np.where(plain, rank, -1)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets reach the threshold. Texts of documents in pairs alone are moved; a b with
-    many partners is spread over several tasks."""
+    """Those of written pairs (a, b, w) whose whole sets reach the threshold; w is about how many words the two have.
+    Texts of documents in pairs alone are moved; a b with many partners is spread over several tasks."""
     need = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-need")
     texts = lookup(docs.select(F.col("doc_id").alias("id"), "text"), need, "id", "left_semi")
-    parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "ngram-parts")
-    own = lookup(pairs, parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("s"), F.col("a").alias("id"))
+    parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"), F.sum("w").alias("w")), "ngram-parts")
+    own = lookup(pairs.drop("w"), parts.drop("w"), "b", n=rows(parts)).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("s"), F.col("a").alias("id"))
     probes = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), F.col("b").alias("id"))
-    members = _dealt(own.unionByName(probes), ["b", "s"], pairs.count(), 2000).join(texts, "id")
+    total = parts.agg(F.sum("w")).first()[0] or 0
+    members = _dealt(own.unionByName(probes), ["b", "s"], max(rows(pairs), total // 500), 2000).join(texts, "id")
 
     def check(x: pd.DataFrame) -> pd.DataFrame:
         shingles, out = Shingler(words), []
         ids, b = x["id"].to_numpy(), x["b"].to_numpy()
-        for (of, _), rows in x.groupby(["b", "s"]).indices.items():
-            sets = {}
-            for r in rows:
-                sets[r] = shingles(x["text"].iat[r])
-            probes = [sets[r] for r in rows if ids[r] == of]
-            for r in rows:
-                if ids[r] != of and any(_reaches(sets[r], p, percent) for p in probes):
-                    out.append((ids[r], of))
+        for (of, _), members in x.groupby(["b", "s"]).indices.items():
+            probes = [shingles(x["text"].iat[r]) for r in members if ids[r] == of]
+            for r in members:
+                if ids[r] != of:
+                    s = shingles(x["text"].iat[r])
+                    if any(_reaches(s, p, percent) for p in probes):
+                        out.append((ids[r], of))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
-    return members.groupBy("bucket").applyInPandas(check, "a long, b long").distinct()
+    out = written(members.groupBy("bucket").applyInPandas(check, "a long, b long").distinct(), "ngram-links")
+    discard(need, parts)
+    return out
 
 
 def _reaches(s: np.ndarray, p: np.ndarray, percent: int) -> bool:
@@ -285,7 +365,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     Two documents link when 100 x common shingles >= percent x shingles of either. Null, empty and wordless texts have
     no shingles and link with nothing. Rows that repeat a doc_id are one document, with the component of all; a null
     doc_id links with nothing and has no component. An empty table gives an empty result; extra columns are not read.
-    Shingles are compared by 56-bit hashes.
+    Very long texts are taken whole: only their prefixes, a fixed number of parities and, where they pass, their own text
+    are sent. Ties do not matter, as a component is named by its smallest doc_id. Shingles are compared by 56-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -295,90 +376,138 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     classes = written(own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "ngram-classes")
     levels = _levels(found)
     prefixes = _prefixes(docs.where("doc_id is not null"), levels, words, percent)
-    prefixes = written(prefixes.where("n > 0").join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "cls"), "ngram-prefixes")
-
-    # of the prefixes, what several sets have
-    postings = prefixes.select("cls", "n", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("at", "token"))
-    shared = written(postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token"), "ngram-shared")
-    met = postings.join(shared, "token").groupBy("cls", "n", "known", "last").agg(F.array_sort(F.collect_list(F.struct("token", "at"))).alias("x"))
-    met = written(met.select("cls", "n", "known", "last", F.col("x.token").alias("tokens"), F.col("x.at").alias("at")), "ngram-met")
-
-    pivots, links = _by_pivot(docs, met, words, percent)
-    component = written(connected_components(links), "ngram-first")
-    pairs = _between(met, component, percent)
-    pairs = written(pairs.join(pivots, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not pairs.isEmpty():
-        links = written(links.unionByName(_verified(docs, pairs, words, percent)), "ngram-links")
-        component = written(connected_components(links), "ngram-second")
+    prefixes = prefixes.where("n > 0").join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    prefixes = prefixes.select(F.monotonically_increasing_id().alias("set"), F.col("doc_id").alias("cls"), "n", "bits", "prefix", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"))
+    prefixes = written(prefixes, "ngram-prefixes")
+    met, most = _met(prefixes, percent)
+    discard(prefixes)
+
+    component, links, tried = None, None, None
+    for low, high in ((0, NEAR), (NEAR, MORE), (MORE, None)):
+        if component is None:
+            sent = _first(met, most)
+        else:
+            sent = _between(met, component, most, low)
+            if not rows(sent):
+                discard(sent)
+                break
+        pairs = _passed(sent, percent, low, high)
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs, "ngram-pairs")
+        discard(sent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if rows(pairs):
+            more = _verified(docs, pairs, words, percent)
+            links = more if links is None else links.unionByName(more)
+            component = connected_components(links)
+        elif component is None:
+            component = connected_components(pairs.select("a", "b"))
+        if most <= (high or most):
+            break
+    discard(met)
     classed = lookup(own, classes, "digest")
-    if not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if links is not None and not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         # a document is in the component of each set that rows of its doc_id have
         more = classed.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-        component = written(connected_components(links.unionByName(more)), "ngram-third")
+        component = connected_components(links.unionByName(more))
+        classed = classed.withColumn("cls", F.col("doc_id"))
+    elif links is None:
+        more = classed.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
+        component = connected_components(more)
         classed = classed.withColumn("cls", F.col("doc_id"))
-    out = lookup(classed, component.select(F.col("node").alias("cls"), "component"), "cls")
+    out = lookup(classed, component.select(F.col("node").alias("cls"), "component"), "cls", n=rows(component))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
 
-def _band() -> Column:
-    return F.floor(F.log(F.col("n").cast("double")) / F.lit(0.1)).alias("band")
-
-
-def _by_pivot(docs: DataFrame, met: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of documents with the pivots of their shingles that were walked, and those that link.
+def _met(prefixes: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """Of each set's prefix what other sets have too, as x: (at, token, k, meet) in order; and the largest k, the number of
+    sets that have a token in their prefix. meet is false where two alone have it and cannot reach the threshold: by their
+    sizes and the places, if it is their first in common, and else it is not where they meet."""
+    postings = prefixes.select("set", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"), F.sum("at").alias("ats")).where("k > 1")
+    n, other = F.col("n"), F.col("ns") - F.col("n")
+    rest = F.least(n - F.col("at"), other - (F.col("ats") - F.col("at")))
+    meet = (F.col("k") > 2) | (((100 + percent) * rest >= percent * (n + other)) & (100 * F.least(n, other) >= percent * F.greatest(n, other)))
+    met = postings.join(shared, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("at", "token", "k", meet.alias("meet")))).alias("x"))
+    largest = Observation()
+    met = met.join(prefixes.drop("prefix"), "set").observe(largest, F.max(F.array_max(F.expr("transform(x, v -> v.k)"))).alias("k"))
+    met = written(met, "ngram-met")
+    return met, largest.get["k"] or 0
+
+
+def _posted(met: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each meeting place of each set whose token at least so many sets have."""
+    part = f"slice(x, i + 1, {TAIL})"
+    cut = f"i + {TAIL} < size(x)"
+    each = f"""filter(transform(x, (v, i) -> named_struct('token', v.token, 'k', v.k, 'meet', v.meet, 'tokens', transform({part}, y -> y.token), 'at', transform({part}, y -> y.at),
+        'before', transform(slice(x, greatest(i - 1, 1), least(i, 2)), y -> y.token), 'known', if({cut}, get(x, i + {TAIL - 1}).at + 1, known), 'last', if({cut}, get(x, i + {TAIL - 1}).token, last))),
+        v -> v.meet and v.k >= {least})"""
+    alone = (F.col("known") - F.size("x")).alias("alone")
+    return met.select("cls", "set", "n", "bits", alone, *extra, F.explode(F.expr(each)).alias("v")).select("cls", "set", "n", "bits", "alone", *extra, "v.token", "v.k", "v.tokens", "v.at", "v.before", "v.known", "v.last")
 
-    Pivots go by shingle and size band; among near copies nearly all have the same one, so the pairs are about as many
-    as the documents."""
-    full = met.select("cls", "n", _band(), (F.col("known") - F.size("tokens")).alias("alone"), F.explode("tokens").alias("token"))
-    pivot = full.groupBy("token", "band").agg(F.min(F.struct("alone", "cls", "n")).alias("v"), F.count("*").alias("c")).where("c > 1")
-    pivot = written(pivot.select("token", "band", F.col("v.cls").alias("b"), F.col("v.n").alias("m")), "ngram-pivots")
-    pairs = full.join(pivot, ["token", "band"]).where(F.col("cls") != F.col("b"))
-    pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("cls").alias("a"), "b").distinct()
-    pairs = written(pairs, "ngram-pivot-pairs")
-    parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "ngram-pivot-parts")
-    own = lookup(pairs, parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("s"), F.col("a").alias("cls"))
-    probes = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), F.col("b").alias("cls"))
-    members = _dealt(own.unionByName(probes), ["b", "s"], pairs.count(), 5000).join(met, "cls")
 
-    def walk(x: pd.DataFrame) -> pd.DataFrame:
-        group = x.groupby(["b", "s"]).ngroup().to_numpy()
-        probing = (x["cls"] == x["b"]).to_numpy()
-        out = [pd.DataFrame({"a": a["cls"].to_numpy(), "b": b["cls"].to_numpy()}) for a, b in _walked(x, group, ~probing, probing, percent)]
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-
-    passed = written(members.groupBy("bucket").applyInPandas(walk, "a long, b long"), "ngram-passed")
-    return pairs, written(_verified(docs, passed, words, percent), "ngram-links")
-
-
-def _between(met: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, of different components that share a shingle of their prefixes and pass the walk."""
-    own = lookup(met, component.withColumnRenamed("node", "cls"), "cls").withColumn("component", F.coalesce("component", "cls"))
-    own = written(own, "ngram-own")
-    flat = own.select("cls", "component", "n", _band(), F.explode("tokens").alias("token"))
-    open_ = flat.groupBy("token").agg(*(f(c).alias(f"{c}_{k}") for c in ("component", "n", "band") for k, f in (("low", F.min), ("high", F.max))), F.count("*").alias("k")).where("component_low <> component_high")
-    # of two alone, those of a band have been walked, one being the pivot, and sizes may be too far apart
-    open_ = open_.where((F.col("k") > 2) | ((F.col("band_low") < F.col("band_high")) & (100 * F.col("n_low") >= percent * F.col("n_high"))))
-    open_ = written(open_.select("token", F.ceil(F.col("k") / GROUP).cast("long").alias("blocks")), "ngram-open")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    # every member goes to the tasks of its block with each block
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sent = flat.select("cls", "token").join(open_, "token").select("token", "cls", block.alias("own"), other.alias("other"))
-    sent = written(sent.select("token", "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second")), "ngram-sent")
-    members = _dealt(sent, ["token", "x", "y"], sent.count(), 5000).join(own, "cls")
+def _band() -> Column:
+    """By size: sets that link lie in the same band or in the next, as long as two bands are wider than 100 / 50."""
+    return F.floor(F.log2(F.col("n").cast("double"))).cast("long").alias("band")
+
+
+def _first(met: DataFrame, most: int) -> DataFrame:
+    """Groups of the first round. A token of many sets is split by size band and at random, with the bands' pivots in
+    each part: of a band the set with the fewest shingles of its own."""
+    sent = _posted(met, 2).where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "s": F.lit(0).cast("long"), "pivot": F.lit(False)})
+    if most > GROUP:
+        hot = _posted(met, GROUP + 1).withColumn("band", _band())
+        parts = hot.groupBy("token", "band").agg(F.count("*").alias("c"), F.min(F.struct("alone", "set")).alias("v"))
+        parts = written(parts.select("token", "band", F.ceil(F.col("c") / GROUP).cast("long").alias("parts"), F.col("v.set").alias("set")), "ngram-hot")
+        own = hot.join(parts.drop("set"), ["token", "band"]).withColumns({"s": F.pmod(F.xxhash64("set", "token"), F.col("parts")), "pivot": F.lit(False)}).drop("parts")
+        pivots = hot.join(parts.drop("parts"), ["token", "band", "set"]).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        pivots = pivots.join(parts.drop("set"), ["token", "band"]).withColumns({"s": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "pivot": F.lit(True)}).drop("parts")
+        sent = sent.unionByName(own).unionByName(pivots)
+    keys = sent.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "first": F.lit(True), "second": ~F.col("pivot"), "visitor": F.lit(False), "component": F.col("cls")})
+    return written(keys.drop("alone", "set", "k"), "ngram-sent")
+
+
+def _between(met: DataFrame, component: DataFrame, most: int, low: int) -> DataFrame:
+    """Groups of tokens that still join sets of different components, in all of which some partners are left: those of
+    rank low and more, or all where the token's sets were dealt to several tasks."""
+    own = lookup(met, component.select(F.col("node").alias("cls"), "component"), "cls", n=rows(component)).withColumn("component", F.coalesce("component", "cls"))
+    flat = own.select("component", F.explode(F.expr(f"filter(x, v -> v.meet and v.k > {low + 1})")).alias("v")).select("component", "v.token")
+    open_ = flat.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    open_ = written(open_, "ngram-open")
+    posted = lookup(_posted(own, low + 2, ("component",)), open_, "token", "left_semi")
+    none = F.lit(0).cast("long")
+    sent = posted.where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "x": none, "y": none, "first": F.lit(True), "second": F.lit(True), "visitor": F.lit(False)})
+    if most > GROUP:
+        # a band's sets meet each other and those of the next band; in blocks, each of which goes to the tasks of all pairs with it
+        hot = posted.where(F.col("k") > GROUP).withColumn("own", _band())
+        hot = hot.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("visitor", F.col("own") != F.col("band")).drop("own")
+        blocks = written(hot.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("blocks"), F.min("visitor").alias("alone")).where("not alone").drop("alone"), "ngram-blocks")
+        hot = hot.join(blocks, ["token", "band"]).withColumns({"i": F.pmod(F.xxhash64("set"), F.col("blocks")), "j": F.explode(F.sequence(none, F.col("blocks") - 1))})
+        hot = hot.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j"), "first": F.col("i") <= F.col("j"), "second": F.col("i") >= F.col("j")}).drop("i", "j", "blocks")
+        sent = sent.unionByName(hot)
+    sent = sent.withColumns({"s": none, "pivot": F.lit(False)})
+    return written(sent.drop("alone", "set", "k"), "ngram-sent")
+
+
+def _passed(sent: DataFrame, percent: int, low: int, high: int | None) -> DataFrame:
+    """Distinct pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks from low to high.
+    Where a token's sets lie in bands (not -1), all ranks below high."""
 
     def walk(x: pd.DataFrame) -> pd.DataFrame:
-        group = x.groupby(["token", "x", "y"]).ngroup().to_numpy()
-        component = x["component"].to_numpy()
+        group = x.groupby(["token", "band", "s", "x", "y"]).ngroup().to_numpy()
+        component, doc, n, visitor = (x[c].to_numpy() for c in ("component", "cls", "n", "visitor"))
         # of two components, one at least is not a group's largest; within one block those alone need to probe
         count = pd.DataFrame({"g": group, "c": component, "n": 1}).groupby(["g", "c"], as_index=False)["n"].sum()
-        largest = count.sort_values(["g", "n"]).drop_duplicates("g", keep="last").set_index("g")["c"].reindex(group).to_numpy()
+        largest = count.sort_values(["g", "n", "c"]).drop_duplicates("g", keep="last").set_index("g")["c"].reindex(group).to_numpy()
         same = (x["x"] == x["y"]).to_numpy()
         probing = x["second"].to_numpy() & ~(same & (component == largest))
-        out = []
-        for a, b in _walked(x, group, x["first"].to_numpy(), probing, percent):
-            p, q = a["cls"].to_numpy(), b["cls"].to_numpy()
-            fine = a["component"].to_numpy() != b["component"].to_numpy()
-            out.append(pd.DataFrame({"a": np.maximum(p, q)[fine], "b": np.minimum(p, q)[fine]}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-
-    return members.groupBy("bucket").applyInPandas(walk, "a long, b long").distinct()
+        p, q, rank = near_pairs(x, group, x["first"].to_numpy(), probing, percent)
+        fine = (component[p] != component[q]) & ~(visitor[p] & visitor[q])
+        fine &= (rank < 0) | (((rank >= low) | (x["band"].to_numpy()[p] >= 0)) & (rank < (high or np.inf)))
+        p, q = p[fine], q[fine]
+        out = pd.DataFrame({"a": np.maximum(doc[p], doc[q]), "b": np.minimum(doc[p], doc[q]), "w": n[p] + n[q]})
+        return out.drop_duplicates(["a", "b"])
+
+    passed = _dealt(sent, ["token", "band", "s", "x", "y"], rows(sent), 20_000).groupBy("bucket").applyInPandas(walk, "a long, b long, w long")
+    return passed.groupBy("a", "b").agg(F.max("w").alias("w"))
