@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of keys (at most 64 bytes each) up to which it may be broadcast: 13 MB at most.
 BROADCAST_ROWS = 200_000
-#: Edges that a task contracts at once.
-FOREST = 500_000
+#: Edges that a task contracts at once, about.
+FOREST = 100_000
 
 _ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -92,10 +92,10 @@ def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: int
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of edges a-b: every node that has a smaller one in its component, and the smallest."""
+    """Of edges a-b: every node, and the smallest node of its component."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, label = flat[: len(a)], flat[len(a) :], np.arange(len(nodes))
-    while True:  # hooking and halving of paths, vectorised
+    while True:  # the ends' labels, and what they label, go to the lower one; paths are shortened
         low = np.minimum(label[x], label[y])
         before = label.copy()
         for end in (x, y):
@@ -104,17 +104,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while (label[label] != label).any():
             label = label[label]
         if (label == before).all():
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+            return nodes, nodes[label]
 
 
 def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges as stars around the smallest node: a goes to b, for every node."""
     held, n = [], 0
     for x in batches:
         held.append(x)
         n += len(x)
-        if n >= FOREST:
+        if n >= 4 * FOREST:
             a, b = forest(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("a", "b")))
             yield pd.DataFrame({"a": a, "b": b})
             held, n = [], 0
@@ -126,19 +125,25 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs -> (node, component), component being the smallest node reachable. Nodes without an edge are absent.
 
-    Contraction in random order: in each round every task turns its edges into a forest of stars; then every node goes
-    into whichever of itself and its neighbours comes first by a hash that changes with the round, and edges between what
-    remains go on. That leaves a fraction of the nodes of any graph, a long path too. First neighbours are found by
-    map-side aggregation, so that a hub's edges never meet in one task; joins' hot partitions are split. Every round is
-    written, which ends its lineage, and is removed when the next has been. (60 rounds are enough for more nodes than
-    a long can number; not settling is an error, never a shorter result.)
+    Contraction in random order: in each round every task, of about FOREST edges, turns them into stars; where one task
+    has all, that is the answer. Else every node goes into whichever of itself and its neighbours comes first by a hash
+    that changes with the round, and edges between what remains go on. That leaves a fraction of the nodes of any graph,
+    a long path too. First neighbours are found by map-side aggregation, so that a hub's edges never meet in one task;
+    joins' hot partitions are split. Every round is written, which ends its lineage, and removed once used. (60 rounds
+    are enough for more nodes than a long can number; not settling is an error, never a shorter result.)
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = written(e.mapInPandas(_contracted, "a long, b long").distinct(), "components-edges")
+    e = written(edges.where("a <> b").select("a", "b").distinct(), "components-edges")
     steps: list[DataFrame] = []
     for k in range(rounds):
         if not rows(e):
             break
+        tasks = -(-rows(e) // FOREST)
+        stars = e.coalesce(tasks).mapInPandas(_contracted, "a long, b long")
+        if tasks == 1:
+            steps.append(written(stars.toDF("node", "into"), "components-step"))
+            break
+        before, e = e, written(stars.where("a <> b").distinct(), "components-edges")
+        discard(before)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("low"))
@@ -146,13 +151,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         steps.append(low)
         n = rows(low)
         more = lookup(lookup(e, low.toDF("a", "_a"), "a", n=n), low.toDF("b", "_b"), "b", n=n).where("_a <> _b")
-        more = more.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).mapInPandas(_contracted, "a long, b long")
-        before, e = e, written(more.distinct(), "components-edges")
+        before, e = e, written(more.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct(), "components-edges")
         discard(before)
     else:
         raise RuntimeError("components have not settled")
     if not steps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return written(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
     # from the last round back: where a node's target went
     into = steps[-1]
     for low in reversed(steps[:-1]):
@@ -163,3 +167,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     out = written(lookup(into, least, "into").select("node", "component"), "components")
     discard(into, least, e)
     return out
+
+
+def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component), written, as it is with more links (a, b)."""
+    a, b = component.toDF("a", "_a"), component.toDF("b", "_b")
+    n = rows(component)
+    ends = lookup(lookup(links, a, "a", n=n), b, "b", n=n).select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    up = connected_components(ends).toDF("component", "_into")
+    fresh = lookup(links.select(F.explode(F.array("a", "b")).alias("node")), component, "node", "left_anti", n=n).distinct()
+    every = component.unionByName(fresh.select("node", F.col("node").alias("component")))
+    return written(lookup(every, up, "component", n=n).select("node", F.coalesce("_into", "component").alias("component")), "components")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, lookup, rows, small_batches, written
+from .common import connected_components, discard, joined_components, lookup, rows, small_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Buckets in which shingles are counted, to put frequent ones last, and the parts in which the counts are added up.
@@ -400,7 +400,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         if rows(pairs):
             more = _verified(docs, pairs, words, percent)
             links = more if links is None else links.unionByName(more)
-            component = connected_components(links)
+            component = connected_components(more) if component is None else joined_components(component, more)
         elif component is None:
             component = connected_components(pairs.select("a", "b"))
         if most <= (high or most):
@@ -410,7 +410,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     if links is not None and not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         # a document is in the component of each set that rows of its doc_id have
         more = classed.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-        component = connected_components(links.unionByName(more))
+        component = joined_components(component, more)
         classed = classed.withColumn("cls", F.col("doc_id"))
     elif links is None:
         more = classed.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))

@@ -51,11 +51,16 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS + ", row long, digest string, component string")
 
 
-def test_components_of_a_path_a_star_and_nothing(spark):
+@pytest.mark.parametrize("size", [100_000, 40])
+def test_components_of_a_path_a_star_and_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(common, "FOREST", size)
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1300)] + [(5000, 5000)]
     found = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {i: 0 for i in range(61)} | {k: 1000 for k in range(1000, 1300)}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    first = common.connected_components(spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    more = common.joined_components(first, spark.createDataFrame([(2, 9), (7, 5), (3, 0)], "a long, b long"))
+    assert dict(map(tuple, more.collect())) == {1: 1, 2: 1, 8: 1, 9: 1, 5: 5, 6: 5, 7: 5, 3: 0, 0: 0}
 
 
 def test_language(spark):
