@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -37,45 +38,133 @@ WORDS, PERCENT = 3, 90
 BUCKETS, PARTS = 1 << 18, 32
 #: Members of a shingle's group beyond which it is dealt to several tasks.
 GROUP = 256
-#: Shared shingles that are sent from a meeting place on; bits of a set's parities at most.
-TAIL, WIDTH = 8, 1024
+#: Shared shingles that are sent from a meeting place on; bits of a set's parities that go with them at most, and of those
+#: that are compared before texts are.
+TAIL, WIDTH, WIDEST = 8, 1024, 1 << 17
 #: Partners that a document links with in the first round and in the second; the third takes all.
 NEAR, MORE = 4, 64
+#: Columns of a meeting place.
+POST = ["cls", "set", "n", "bits", "alone", "token", "k", "tokens", "at", "before", "known", "last"]
 #: Tasks of a step at least; cells of a tree's table, about.
 TASKS, CELLS = 64, 500_000
-#: Distinct words whose hashes a worker remembers.
-KNOWN = 500_000
+#: Bytes of texts that are hashed at once; the base of words' polynomials.
+WINDOW, BASE = 1 << 18, 0x9FB21C651E98DF25
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(WINDOW + 1, np.uint64)
+    out[0], k = 1, 1
+    while k <= WINDOW:  # by doubling
+        m = min(k, WINDOW + 1 - k)
+        out[k : k + m] = out[:m] * np.uint64(pow(base, k, 2**64))
+        k *= 2
+    return out
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bytes with texts beginning at cuts: each word's hash, and where it begins. Words end at ASCII white space and at cuts."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    n = len(data)
+    begins = np.ones(n, bool)
+    begins[1:] = space[:-1]
+    begins[cuts[cuts < n]] = True
+    ends = np.ones(n, bool)
+    ends[:-1] = space[1:]
+    inner = cuts[(cuts > 0) & (cuts < n)]
+    ends[inner - 1] = True
+    begin, end = np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
+    shingler = _TABLES
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(shingler["byte"][data] * shingler["up"][:n], out=sums[1:])
+    h = (sums[end] - sums[begin]) * shingler["down"][begin] ^ (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32), begin
+
+
+class _Tables(dict):
+    """What hashes are made of, once for a worker: a number for each byte (A-Z as a-z), powers of an odd number, of its inverse."""
+
+    def __missing__(self, name: str) -> np.ndarray:
+        if name == "byte":
+            self[name] = np.array([xxhash.xxh64_intdigest(bytes([c]).lower()) for c in range(256)], np.uint64)
+        else:
+            self[name] = _powers(BASE if name == "up" else pow(BASE, -1, 2**64))
+        return self[name]
+
+
+_TABLES = _Tables()
 
 
 class Shingler:
-    """Distinct shingles of texts as sorted 56-bit numbers. A-Z are lowered, words end at ASCII white space; a text of
-    fewer words than a shingle has one of them all; no word, no shingle."""
+    """Distinct shingles of texts (UTF-8) as sorted 56-bit numbers. A-Z are lowered, words end at ASCII white space; a text
+    of fewer words than a shingle has one of them all; no word, no shingle. A word's hash is a polynomial in its bytes, so
+    those of a window of many texts are found at once; only its hashes are held of a long text."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, _Words()
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        found = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: ASCII only
-        n = len(found)
-        if not n:
+        return self.sets(pa.array([text], pa.string()))[0]
+
+    def sets(self, column: pa.Array) -> list[np.ndarray]:
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        if column.null_count:  # a null has no bytes of its own
+            offsets = np.where(np.r_[column.is_null().to_numpy(zero_copy_only=False), False], np.r_[offsets[1:], offsets[-1]], offsets)
+        out: list[np.ndarray] = []
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + WINDOW, "right")) - 1)
+            if offsets[j] - offsets[i] <= WINDOW:
+                h, begin = _word_hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
+                out += self._shingled(h, np.searchsorted(begin, offsets[i : j + 1] - offsets[i]))
+            else:
+                h = self._long(data[offsets[i] : offsets[j]])
+                out += self._shingled(h, np.array([0, len(h)]))
+            i = j
+        return out
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Words' hashes of a text longer than a window, window by window; a word longer than that is hashed by its bytes."""
+        found, at = [], 0
+        while at < len(data):
+            part = data[at : at + WINDOW]
+            if at + WINDOW < len(data):
+                space = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+                if not len(space):  # one word fills the window
+                    rest = data[at:]
+                    ends = next((k + int(np.argmax(hit)) for k in range(0, len(rest), WINDOW) if (hit := (rest[k : k + WINDOW] == 32) | ((rest[k : k + WINDOW] >= 9) & (rest[k : k + WINDOW] <= 13))).any()), len(rest))
+                    found.append(np.array([xxhash.xxh64_intdigest(rest[:ends].tobytes().lower())], np.uint64))
+                    at += ends
+                    continue
+                part = part[: space[-1] + 1]
+            found.append(_word_hashes(part, np.zeros(0, np.int64))[0])
+            at += len(part)
+        return np.concatenate(found)
+
+    def _shingled(self, h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        k = self.words
+        x = self._mixed(h, k)
+        out = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            s = x[a : b - k + 1] if b - a >= k else self._mixed(h[a:b], b - a)
+            s = np.sort(s)
+            out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s)
+        return out
+
+    def _mixed(self, h: np.ndarray, k: int) -> np.ndarray:
+        m = len(h) - k + 1
+        if m <= 0 or not k:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, found), np.uint64, n)
-        k = min(self.words, n)
-        x = np.full(n - k + 1, np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        x = np.full(m, np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
         for j in range(k):
-            x = (x ^ h[j : n - k + 1 + j]) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ h[j : m + j]) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(32)
-        return np.unique(x >> np.uint64(8))
+        return x >> np.uint64(8)
 
 
 def ordered(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -189,7 +278,7 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
         shingles, counts = Shingler(words), np.zeros(BUCKETS, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for x in batches:
-            sets = [shingles(t) for t in x.column("text").to_pylist()]
+            sets = shingles.sets(x.column("text"))
             n = [len(s) for s in sets]
             if sum(n):
                 counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
@@ -248,20 +337,22 @@ def apart(bits: list[bytes], p: np.ndarray, q: np.ndarray, chunk: int = 100_000)
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+    """doc_id, n, parities (wide ones only of sets larger than WIDTH) and prefix of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for x in batches:
-            n, first, bits = [], [], []
-            for t in x.column("text").to_pylist():
-                s = shingles(t)
+            n, first, bits, wide = [], [], [], []
+            for s in shingles.sets(x.column("text")):
                 n.append(len(s))
                 bits.append(parities(s))
+                wide.append(parities(s, WIDEST) if len(s) > WIDTH else None)
                 first.append(ordered(s, shared.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "bits", "prefix"])
+            columns = [x.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "bits", "wide", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, bits binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, bits binary, wide binary, prefix array<long>")
 
 
 def _dealt(members: DataFrame, keys: list[str], count: int, rows: int) -> DataFrame:
@@ -377,35 +468,30 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     levels = _levels(found)
     prefixes = _prefixes(docs.where("doc_id is not null"), levels, words, percent)
     prefixes = prefixes.where("n > 0").join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    prefixes = prefixes.select(F.monotonically_increasing_id().alias("set"), F.col("doc_id").alias("cls"), "n", "bits", "prefix", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"))
+    prefixes = prefixes.select(F.monotonically_increasing_id().alias("set"), F.col("doc_id").alias("cls"), "n", "bits", "wide", "prefix", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"))
     prefixes = written(prefixes, "ngram-prefixes")
-    met, most = _met(prefixes, percent)
-    discard(prefixes)
+    wide = prefixes.where("wide is not null").select("cls", "wide")
+    posts, most = _posts(prefixes, percent)
 
-    component, links, tried = None, None, None
+    component, links, tried, left = None, None, None, None
     for low, high in ((0, NEAR), (NEAR, MORE), (MORE, None)):
-        if component is None:
-            sent = _first(met, most)
-        else:
-            sent = _between(met, component, most, low)
-            if not rows(sent):
-                discard(sent)
-                break
-        pairs = _passed(sent, percent, low, high)
+        sent = _first(posts, most) if component is None else _between(posts, component, left, most)
+        found_now = _passed(sent, percent, low, high)
+        left = found_now.where("token is not null").select("token").distinct()
+        pairs = found_now.where("token is null").groupBy("a", "b").agg(F.max("w").alias("w"))
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "ngram-pairs")
-        discard(sent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if rows(pairs):
-            more = _verified(docs, pairs, words, percent)
+            more = _verified(docs, _wide_apart(pairs, wide, percent), words, percent)
             links = more if links is None else links.unionByName(more)
             component = connected_components(more) if component is None else joined_components(component, more)
         elif component is None:
             component = connected_components(pairs.select("a", "b"))
-        if most <= (high or most):
+        if most <= GROUP and left.isEmpty():
             break
-    discard(met)
+    discard(posts, prefixes)
     classed = lookup(own, classes, "digest")
     if links is not None and not own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         # a document is in the component of each set that rows of its doc_id have
@@ -420,83 +506,124 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
 
-def _met(prefixes: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """Of each set's prefix what other sets have too, as x: (at, token, k, meet) in order; and the largest k, the number of
-    sets that have a token in their prefix. meet is false where two alone have it and cannot reach the threshold: by their
-    sizes and the places, if it is their first in common, and else it is not where they meet."""
-    postings = prefixes.select("set", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"), F.sum("at").alias("ats")).where("k > 1")
+def _posts(prefixes: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """A row for each meeting place of each set: a token of its prefix that other sets have in theirs, with k, how many have
+    it, and of the shared tokens from there on the first TAIL and their places (at), and the two before. known and last say
+    how far the prefix is known by them. Besides, the largest k.
+
+    Sets of n and m shingles that first meet at places at and bt share at most the lesser rest of both. So a place is early
+    if it can be the first in common with a set of the same size or a larger one, and a late one serves only smaller sets,
+    at an early place of theirs; and of two sets alone the bound is tested itself."""
+    early = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
+    postings = prefixes.select("set", "n", F.posexplode("prefix").alias("at", "token")).withColumn("early", early)
+    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"), F.sum("at").alias("ats"), F.count_if("early").alias("earlies")).where("k > 1")
     n, other = F.col("n"), F.col("ns") - F.col("n")
     rest = F.least(n - F.col("at"), other - (F.col("ats") - F.col("at")))
-    meet = (F.col("k") > 2) | (((100 + percent) * rest >= percent * (n + other)) & (100 * F.least(n, other) >= percent * F.greatest(n, other)))
-    met = postings.join(shared, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("at", "token", "k", meet.alias("meet")))).alias("x"))
-    largest = Observation()
-    met = met.join(prefixes.drop("prefix"), "set").observe(largest, F.max(F.array_max(F.expr("transform(x, v -> v.k)"))).alias("k"))
-    met = written(met, "ngram-met")
-    return met, largest.get["k"] or 0
+    two = ((100 + percent) * rest >= percent * (n + other)) & (100 * F.least(n, other) >= percent * F.greatest(n, other))
+    meet = F.when(F.col("k") == 2, two).otherwise(F.col("early") | (F.col("earlies") > 0))
+    met = postings.join(shared, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.when(meet, F.col("k")).otherwise(0).alias("k")))).alias("x"))
+    met = met.join(prefixes.drop("prefix", "wide"), "set").select("cls", "set", "n", "bits", "known", "last", F.col("x.at").alias("at"), F.col("x.token").alias("token"), F.col("x.k").alias("k"))
 
-
-def _posted(met: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each meeting place of each set whose token at least so many sets have."""
-    part = f"slice(x, i + 1, {TAIL})"
-    cut = f"i + {TAIL} < size(x)"
-    each = f"""filter(transform(x, (v, i) -> named_struct('token', v.token, 'k', v.k, 'meet', v.meet, 'tokens', transform({part}, y -> y.token), 'at', transform({part}, y -> y.at),
-        'before', transform(slice(x, greatest(i - 1, 1), least(i, 2)), y -> y.token), 'known', if({cut}, get(x, i + {TAIL - 1}).at + 1, known), 'last', if({cut}, get(x, i + {TAIL - 1}).token, last))),
-        v -> v.meet and v.k >= {least})"""
-    alone = (F.col("known") - F.size("x")).alias("alone")
-    return met.select("cls", "set", "n", "bits", alone, *extra, F.explode(F.expr(each)).alias("v")).select("cls", "set", "n", "bits", "alone", *extra, "v.token", "v.k", "v.tokens", "v.at", "v.before", "v.known", "v.last")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            flat = {c: x.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "token", "k")}
+            size = pa.compute.list_value_length(x.column("at")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(size)
+            for chosen in np.array_split(np.flatnonzero(flat["k"] > 0), max(1, int((flat["k"] > 0).sum()) // 20_000)):
+                row = np.searchsorted(ends, chosen, "right")
+                whole = ends[row] - chosen
+                length, back = np.minimum(TAIL, whole), np.minimum(2, chosen - (ends[row] - size[row]))
+
+                def lists(first: np.ndarray, count: np.ndarray, values: np.ndarray) -> pa.Array:
+                    starts = np.r_[0, np.cumsum(count)]
+                    return pa.ListArray.from_arrays(starts.astype(np.int32), values[np.repeat(first - starts[:-1], count) + np.arange(starts[-1])])
+
+                end = np.maximum(chosen + length - 1, 0)
+                short = whole > TAIL
+                known, last = (x.column(c).to_numpy(zero_copy_only=False)[row] for c in ("known", "last"))
+                taken = {c: x.column(c).take(pa.array(row)) for c in ("cls", "set", "n", "bits")}
+                out = [
+                    taken["cls"], taken["set"], taken["n"], taken["bits"], pa.array(x.column("known").to_numpy()[row] - size[row], pa.int64()), pa.array(flat["token"][chosen]), pa.array(flat["k"][chosen]),
+                    lists(chosen, length, flat["token"]), lists(chosen, length, flat["at"]), lists(chosen - back, back, flat["token"]),
+                    pa.array(np.where(short, flat["at"][end] + 1, known), pa.int64()), pa.array(np.where(short, flat["token"][end], last), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(out, names=POST)
+
+    kinds = ("long", "long", "long", "binary", "long", "long", "long", "array<long>", "array<long>", "array<long>", "long", "long")
+    largest = Observation()
+    posts = met.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(POST, kinds, strict=True))).observe(largest, F.max("k").alias("k"))
+    posts = written(posts, "ngram-posts")
+    return posts, largest.get["k"] or 0
 
 
 def _band() -> Column:
-    """By size: sets that link lie in the same band or in the next, as long as two bands are wider than 100 / 50."""
+    """By size: sets that link lie in the same band or in the next, as percent is 50 or more."""
     return F.floor(F.log2(F.col("n").cast("double"))).cast("long").alias("band")
 
 
-def _first(met: DataFrame, most: int) -> DataFrame:
+def _first(posts: DataFrame, most: int) -> DataFrame:
     """Groups of the first round. A token of many sets is split by size band and at random, with the bands' pivots in
     each part: of a band the set with the fewest shingles of its own."""
-    sent = _posted(met, 2).where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "s": F.lit(0).cast("long"), "pivot": F.lit(False)})
+    none = F.lit(0).cast("long")
+    sent = posts.where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "s": none, "pivot": F.lit(False)})
     if most > GROUP:
-        hot = _posted(met, GROUP + 1).withColumn("band", _band())
+        hot = posts.where(F.col("k") > GROUP).withColumn("band", _band())
         parts = hot.groupBy("token", "band").agg(F.count("*").alias("c"), F.min(F.struct("alone", "set")).alias("v"))
         parts = written(parts.select("token", "band", F.ceil(F.col("c") / GROUP).cast("long").alias("parts"), F.col("v.set").alias("set")), "ngram-hot")
         own = hot.join(parts.drop("set"), ["token", "band"]).withColumns({"s": F.pmod(F.xxhash64("set", "token"), F.col("parts")), "pivot": F.lit(False)}).drop("parts")
         pivots = hot.join(parts.drop("parts"), ["token", "band", "set"]).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        pivots = pivots.join(parts.drop("set"), ["token", "band"]).withColumns({"s": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "pivot": F.lit(True)}).drop("parts")
+        pivots = pivots.join(parts.drop("set"), ["token", "band"]).withColumns({"s": F.explode(F.sequence(none, F.col("parts") - 1)), "pivot": F.lit(True)}).drop("parts")
         sent = sent.unionByName(own).unionByName(pivots)
-    keys = sent.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "first": F.lit(True), "second": ~F.col("pivot"), "visitor": F.lit(False), "component": F.col("cls")})
-    return written(keys.drop("alone", "set", "k"), "ngram-sent")
-
-
-def _between(met: DataFrame, component: DataFrame, most: int, low: int) -> DataFrame:
-    """Groups of tokens that still join sets of different components, in all of which some partners are left: those of
-    rank low and more, or all where the token's sets were dealt to several tasks."""
-    own = lookup(met, component.select(F.col("node").alias("cls"), "component"), "cls", n=rows(component)).withColumn("component", F.coalesce("component", "cls"))
-    flat = own.select("component", F.explode(F.expr(f"filter(x, v -> v.meet and v.k > {low + 1})")).alias("v")).select("component", "v.token")
-    open_ = flat.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    open_ = written(open_, "ngram-open")
-    posted = lookup(_posted(own, low + 2, ("component",)), open_, "token", "left_semi")
+    keys = sent.withColumns({"x": none, "y": none, "first": F.lit(True), "second": ~F.col("pivot"), "visitor": F.lit(False), "component": F.col("cls")})
+    return keys.drop("alone", "set", "k")
+
+
+def _between(posts: DataFrame, component: DataFrame, left: DataFrame, most: int) -> DataFrame:
+    """Groups of the later rounds: those of the tokens that had partners left, and those that many sets have."""
+    left = written(left, "ngram-left")
+    own = lookup(posts.where(F.col("k") <= GROUP), left, "token", "left_semi")
+    if most > GROUP:
+        own = own.unionByName(posts.where(F.col("k") > GROUP))
+    own = written(lookup(own, component.select(F.col("node").alias("cls"), "component"), "cls", n=rows(component)).withColumn("component", F.coalesce("component", "cls")), "ngram-own")
+    open_ = own.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    own = lookup(own, written(open_, "ngram-open"), "token", "left_semi")
     none = F.lit(0).cast("long")
-    sent = posted.where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "x": none, "y": none, "first": F.lit(True), "second": F.lit(True), "visitor": F.lit(False)})
+    sent = own.where(F.col("k") <= GROUP).withColumns({"band": F.lit(-1).cast("long"), "x": none, "y": none, "first": F.lit(True), "second": F.lit(True), "visitor": F.lit(False)})
     if most > GROUP:
         # a band's sets meet each other and those of the next band; in blocks, each of which goes to the tasks of all pairs with it
-        hot = posted.where(F.col("k") > GROUP).withColumn("own", _band())
+        hot = own.where(F.col("k") > GROUP).withColumn("own", _band())
         hot = hot.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("visitor", F.col("own") != F.col("band")).drop("own")
         blocks = written(hot.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("blocks"), F.min("visitor").alias("alone")).where("not alone").drop("alone"), "ngram-blocks")
         hot = hot.join(blocks, ["token", "band"]).withColumns({"i": F.pmod(F.xxhash64("set"), F.col("blocks")), "j": F.explode(F.sequence(none, F.col("blocks") - 1))})
         hot = hot.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j"), "first": F.col("i") <= F.col("j"), "second": F.col("i") >= F.col("j")}).drop("i", "j", "blocks")
         sent = sent.unionByName(hot)
-    sent = sent.withColumns({"s": none, "pivot": F.lit(False)})
-    return written(sent.drop("alone", "set", "k"), "ngram-sent")
+    return sent.withColumns({"s": none, "pivot": F.lit(False)}).drop("alone", "set", "k")
+
+
+def _wide_apart(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """pairs without those of large sets whose wide parities differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            p = np.flatnonzero(x.column("_p").is_valid().to_numpy(zero_copy_only=False) & x.column("_q").is_valid().to_numpy(zero_copy_only=False))
+            both = x.column("w").to_numpy()
+            fine = np.ones(len(both), bool)
+            bits = [*x.column("_p").take(pa.array(p)).to_pylist(), *x.column("_q").take(pa.array(p)).to_pylist()]
+            k = np.arange(len(p))
+            fine[p] = apart(bits, k, k + len(p), 500) <= both[p] - 2 * least_overlap(both[p], 0, percent)
+            yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(fine)) for c in ("a", "b", "w")], names=["a", "b", "w"])
+
+    large = pairs.where(F.col("w") > 2 * WIDTH).join(wide.toDF("a", "_p"), "a", "left").join(wide.toDF("b", "_q"), "b", "left")
+    return written(pairs.where(F.col("w") <= 2 * WIDTH).unionByName(large.select("a", "b", "w", "_p", "_q").mapInArrow(run, "a long, b long, w long")), "ngram-close")
 
 
 def _passed(sent: DataFrame, percent: int, low: int, high: int | None) -> DataFrame:
-    """Distinct pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks from low to high.
-    Where a token's sets lie in bands (not -1), all ranks below high."""
+    """Pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks from low to high
+    (where a token's sets lie in bands, not -1, all ranks below high); and the tokens of groups with higher ranks."""
 
     def walk(x: pd.DataFrame) -> pd.DataFrame:
         group = x.groupby(["token", "band", "s", "x", "y"]).ngroup().to_numpy()
-        component, doc, n, visitor = (x[c].to_numpy() for c in ("component", "cls", "n", "visitor"))
+        component, doc, n, visitor, band, token = (x[c].to_numpy() for c in ("component", "cls", "n", "visitor", "band", "token"))
         # of two components, one at least is not a group's largest; within one block those alone need to probe
         count = pd.DataFrame({"g": group, "c": component, "n": 1}).groupby(["g", "c"], as_index=False)["n"].sum()
         largest = count.sort_values(["g", "n", "c"]).drop_duplicates("g", keep="last").set_index("g")["c"].reindex(group).to_numpy()
@@ -504,10 +631,15 @@ def _passed(sent: DataFrame, percent: int, low: int, high: int | None) -> DataFr
         probing = x["second"].to_numpy() & ~(same & (component == largest))
         p, q, rank = near_pairs(x, group, x["first"].to_numpy(), probing, percent)
         fine = (component[p] != component[q]) & ~(visitor[p] & visitor[q])
-        fine &= (rank < 0) | (((rank >= low) | (x["band"].to_numpy()[p] >= 0)) & (rank < (high or np.inf)))
+        p, q, rank = p[fine], q[fine], rank[fine]
+        over = np.unique(token[p[(rank >= high) & (band[p] < 0)]]) if high else token[:0]
+        fine = (rank < 0) | (((rank >= low) | (band[p] >= 0)) & (rank < (high or np.inf)))
         p, q = p[fine], q[fine]
-        out = pd.DataFrame({"a": np.maximum(doc[p], doc[q]), "b": np.minimum(doc[p], doc[q]), "w": n[p] + n[q]})
-        return out.drop_duplicates(["a", "b"])
+        out = pd.DataFrame({"a": np.maximum(doc[p], doc[q]), "b": np.minimum(doc[p], doc[q]), "w": n[p] + n[q], "token": pd.array([pd.NA] * len(p), "Int64")}).drop_duplicates(["a", "b"])
+        none = pd.array([pd.NA] * len(over), "Int64")
+        return pd.concat([out.astype("Int64"), pd.DataFrame({"a": none, "b": none, "w": none, "token": pd.array(over, "Int64")})])
 
-    passed = _dealt(sent, ["token", "band", "s", "x", "y"], rows(sent), 20_000).groupBy("bucket").applyInPandas(walk, "a long, b long, w long")
-    return passed.groupBy("a", "b").agg(F.max("w").alias("w"))
+    sent = written(sent, "ngram-sent")
+    out = written(_dealt(sent, ["token", "band", "s", "x", "y"], rows(sent), 20_000).groupBy("bucket").applyInPandas(walk, "a long, b long, w long, token long"), "ngram-passed")
+    discard(sent)
+    return out
