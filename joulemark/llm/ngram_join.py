@@ -474,9 +474,9 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     posts, most = _posts(prefixes, percent)
 
     component, links, tried, left = None, None, None, None
-    for low, high in ((0, NEAR), (NEAR, MORE), (MORE, None)):
+    for high in (NEAR, MORE, None):
         sent = _first(posts, most) if component is None else _between(posts, component, left, most)
-        found_now = _passed(sent, percent, low, high)
+        found_now = _passed(sent, percent, component is None, high)
         left = found_now.where("token is not null").select("token").distinct()
         pairs = found_now.where("token is null").groupBy("a", "b").agg(F.max("w").alias("w"))
         if tried is not None:
@@ -617,23 +617,24 @@ def _wide_apart(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     return written(pairs.where(F.col("w") <= 2 * WIDTH).unionByName(large.select("a", "b", "w", "_p", "_q").mapInArrow(run, "a long, b long, w long")), "ngram-close")
 
 
-def _passed(sent: DataFrame, percent: int, low: int, high: int | None) -> DataFrame:
-    """Pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks from low to high
-    (where a token's sets lie in bands, not -1, all ranks below high); and the tokens of groups with higher ranks."""
+def _passed(sent: DataFrame, percent: int, first: bool, high: int | None) -> DataFrame:
+    """Pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks below high; and
+    the tokens of groups, not dealt to several tasks (band -1), that have higher ranks."""
 
     def walk(x: pd.DataFrame) -> pd.DataFrame:
         group = x.groupby(["token", "band", "s", "x", "y"]).ngroup().to_numpy()
         component, doc, n, visitor, band, token = (x[c].to_numpy() for c in ("component", "cls", "n", "visitor", "band", "token"))
-        # of two components, one at least is not a group's largest; within one block those alone need to probe
+        # of two components, one at least is not a group's largest; within one block those alone need to probe. In the
+        # first round all do, so that a group in which a pair is left is known by the ranks
         count = pd.DataFrame({"g": group, "c": component, "n": 1}).groupby(["g", "c"], as_index=False)["n"].sum()
         largest = count.sort_values(["g", "n", "c"]).drop_duplicates("g", keep="last").set_index("g")["c"].reindex(group).to_numpy()
         same = (x["x"] == x["y"]).to_numpy()
-        probing = x["second"].to_numpy() & ~(same & (component == largest))
+        probing = x["second"].to_numpy() & (first | ~(same & (component == largest)))
         p, q, rank = near_pairs(x, group, x["first"].to_numpy(), probing, percent)
         fine = (component[p] != component[q]) & ~(visitor[p] & visitor[q])
         p, q, rank = p[fine], q[fine], rank[fine]
         over = np.unique(token[p[(rank >= high) & (band[p] < 0)]]) if high else token[:0]
-        fine = (rank < 0) | (((rank >= low) | (band[p] >= 0)) & (rank < (high or np.inf)))
+        fine = rank < (high or np.inf)
         p, q = p[fine], q[fine]
         out = pd.DataFrame({"a": np.maximum(doc[p], doc[q]), "b": np.minimum(doc[p], doc[q]), "w": n[p] + n[q], "token": pd.array([pd.NA] * len(p), "Int64")}).drop_duplicates(["a", "b"])
         none = pd.array([pd.NA] * len(over), "Int64")
