@@ -120,11 +120,53 @@ def test_exact_dedup(spark, corpus, docs):
     assert kept.columns == odd(spark).columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == [(1, "a b c d"), (None, None)]
 
 
-def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
-    keys = spark.createDataFrame([(bytes([i % 7]), i, i, "f") for i in range(100)], "digest binary, doc_id long, row long, locator string").repartition(10)
-    keys.write.parquet(f"{tmp_path}/keys")
-    out = exact_dedup.digest_stream(spark, f"{tmp_path}/keys", keys.schema, files_per_batch=2).collect()
-    assert {(r["digest"][0], r["keep"]["doc_id"], r["n"]) for r in out} == {(k, max(range(k, 100, 7)), len(range(k, 100, 7))) for k in range(7)}
+def dedup_rows(df):
+    return sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+
+
+def expected_dedup(rows):
+    group = collections.defaultdict(list)
+    for i, t in rows:
+        group[t or ""].append(i)
+    return sorted((i, max(g), len(g), i == max(g)) for g in group.values() for i in g)
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda c: F.unhex(F.substring(F.sha2(F.encode(c, "UTF-8"), 256), 1, 1 + 1))])
+def test_dedup_state_goes_on_from_call_to_call(spark, tmp_path, digest):
+    """Over growing input, in batches; with a digest that collides, rows of earlier calls are read again by their locators."""
+    r = random.Random(3)
+    rows, state = [], f"file://{tmp_path}/state"
+    for call in range(3):
+        more = [(1000 * call + i, r.choice([None, "", *(f"text {k}" for k in range(40))]) if i % 3 else f"own {call} {i}") for i in range(60)]
+        rows += more
+        df = spark.createDataFrame(more, "doc_id long, text string").repartition(4)
+        if call:  # as files, and as rows of a query
+            df.write.parquet(f"{tmp_path}/in{call}")
+            df = spark.read.parquet(f"{tmp_path}/in{call}")
+        assert dedup_rows(exact_dedup.exact_dedup(df, digest, state, files_per_batch=2)) == expected_dedup(rows)
+
+
+def test_dedup_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    rows, state, save = [(i, f"text {i % 7}") for i in range(100)], f"file://{tmp_path}/state", exact_dedup._save
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    df.write.parquet(f"{tmp_path}/in")
+
+    def failing(df, k, out):
+        if k == 2:
+            raise RuntimeError("an executor is lost")
+        save(df, k, out)
+
+    monkeypatch.setattr(exact_dedup, "_save", failing)
+    with pytest.raises(Exception, match="executor is lost"):
+        exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in"), state=state, call="monday", files_per_batch=1)
+    monkeypatch.setattr(exact_dedup, "_save", save)
+    assert dedup_rows(exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in"), state=state, call="monday", files_per_batch=1)) == expected_dedup(rows)
+    assert dedup_rows(exact_dedup.exact_dedup(spark.createDataFrame([(200, "text 3")], "doc_id long, text string"), state=state)) == expected_dedup([*rows, (200, "text 3")])
+
+
+def test_dedup_of_a_table_with_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "a", "mine", "lost?", "x"), (2, "a", "yours", None, "y")], "doc_id long, text string, digest string, lost string, `_digest` string")
+    assert [tuple(r) for r in exact_dedup.without_copies(df).collect()] == [(2, "a", "yours", None, "y")]
 
 
 def test_mixing(spark, corpus, docs):
