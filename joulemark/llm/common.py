@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -68,6 +69,12 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of queries that have been written go when the driver collects its garbage; now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(name: str, *taken: Iterable[str]) -> str:
     """name, or name with underscores in front, so that it is no column of taken (as Spark compares names: by lower case)."""
     used = {c.lower() for columns in taken for c in columns}

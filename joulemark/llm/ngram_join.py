@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, joined_components, lookup, rows, small_batches, written
+from .common import connected_components, discard, joined_components, lookup, release, rows, small_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Buckets in which shingles are counted, to put frequent ones last, and the parts in which the counts are added up.
@@ -475,8 +475,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     component, links, tried, left = None, None, None, None
     for high in (NEAR, MORE, None):
-        sent = _first(posts, most) if component is None else _between(posts, component, left, most)
-        found_now = _passed(sent, percent, component is None, high)
+        sent, count = (_first(posts, most), rows(posts)) if component is None else _between(posts, component, left, most)
+        found_now = _passed(sent, count, percent, component is None, high)
         left = found_now.where("token is not null").select("token").distinct()
         pairs = found_now.where("token is null").groupBy("a", "b").agg(F.max("w").alias("w"))
         if tried is not None:
@@ -487,6 +487,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
             more = _verified(docs, _wide_apart(pairs, wide, percent), words, percent)
             links = more if links is None else links.unionByName(more)
             component = connected_components(more) if component is None else joined_components(component, more)
+            release(spark)
         elif component is None:
             component = connected_components(pairs.select("a", "b"))
         if most <= GROUP and left.isEmpty():
@@ -515,12 +516,12 @@ def _posts(prefixes: DataFrame, percent: int) -> tuple[DataFrame, int]:
     if it can be the first in common with a set of the same size or a larger one, and a late one serves only smaller sets,
     at an early place of theirs; and of two sets alone the bound is tested itself."""
     early = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
-    postings = prefixes.select("set", "n", F.posexplode("prefix").alias("at", "token")).withColumn("early", early)
-    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"), F.sum("at").alias("ats"), F.count_if("early").alias("earlies")).where("k > 1")
+    postings = prefixes.select("set", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"), F.sum("at").alias("ats"), F.count_if(early).alias("earlies")).where("k > 1")
     n, other = F.col("n"), F.col("ns") - F.col("n")
     rest = F.least(n - F.col("at"), other - (F.col("ats") - F.col("at")))
     two = ((100 + percent) * rest >= percent * (n + other)) & (100 * F.least(n, other) >= percent * F.greatest(n, other))
-    meet = F.when(F.col("k") == 2, two).otherwise(F.col("early") | (F.col("earlies") > 0))
+    meet = F.when(F.col("k") == 2, two).otherwise(early | (F.col("earlies") > 0))
     met = postings.join(shared, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.when(meet, F.col("k")).otherwise(0).alias("k")))).alias("x"))
     met = met.join(prefixes.drop("prefix", "wide"), "set").select("cls", "set", "n", "bits", "known", "last", F.col("x.at").alias("at"), F.col("x.token").alias("token"), F.col("x.k").alias("k"))
 
@@ -553,6 +554,7 @@ def _posts(prefixes: DataFrame, percent: int) -> tuple[DataFrame, int]:
     largest = Observation()
     posts = met.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(POST, kinds, strict=True))).observe(largest, F.max("k").alias("k"))
     posts = written(posts, "ngram-posts")
+    release(posts.sparkSession)
     return posts, largest.get["k"] or 0
 
 
@@ -578,13 +580,14 @@ def _first(posts: DataFrame, most: int) -> DataFrame:
     return keys.drop("alone", "set", "k")
 
 
-def _between(posts: DataFrame, component: DataFrame, left: DataFrame, most: int) -> DataFrame:
-    """Groups of the later rounds: those of the tokens that had partners left, and those that many sets have."""
+def _between(posts: DataFrame, component: DataFrame, left: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Groups of the later rounds, and how many rows they have but for those dealt to several tasks: those of the tokens that had partners left, and those that many sets have."""
     left = written(left, "ngram-left")
     own = lookup(posts.where(F.col("k") <= GROUP), left, "token", "left_semi")
     if most > GROUP:
         own = own.unionByName(posts.where(F.col("k") > GROUP))
     own = written(lookup(own, component.select(F.col("node").alias("cls"), "component"), "cls", n=rows(component)).withColumn("component", F.coalesce("component", "cls")), "ngram-own")
+    own_rows = own
     open_ = own.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     own = lookup(own, written(open_, "ngram-open"), "token", "left_semi")
     none = F.lit(0).cast("long")
@@ -597,7 +600,7 @@ def _between(posts: DataFrame, component: DataFrame, left: DataFrame, most: int)
         hot = hot.join(blocks, ["token", "band"]).withColumns({"i": F.pmod(F.xxhash64("set"), F.col("blocks")), "j": F.explode(F.sequence(none, F.col("blocks") - 1))})
         hot = hot.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j"), "first": F.col("i") <= F.col("j"), "second": F.col("i") >= F.col("j")}).drop("i", "j", "blocks")
         sent = sent.unionByName(hot)
-    return sent.withColumns({"s": none, "pivot": F.lit(False)}).drop("alone", "set", "k")
+    return sent.withColumns({"s": none, "pivot": F.lit(False)}).drop("alone", "set", "k"), rows(own_rows)
 
 
 def _wide_apart(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
@@ -617,8 +620,8 @@ def _wide_apart(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     return written(pairs.where(F.col("w") <= 2 * WIDTH).unionByName(large.select("a", "b", "w", "_p", "_q").mapInArrow(run, "a long, b long, w long")), "ngram-close")
 
 
-def _passed(sent: DataFrame, percent: int, first: bool, high: int | None) -> DataFrame:
-    """Pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks below high; and
+def _passed(sent: DataFrame, count: int, percent: int, first: bool, high: int | None) -> DataFrame:
+    """Of about count rows sent, pairs (a, b, w), a > b, of different components, that the walk and the parities let pass, of ranks below high; and
     the tokens of groups, not dealt to several tasks (band -1), that have higher ranks."""
 
     def walk(x: pd.DataFrame) -> pd.DataFrame:
@@ -640,7 +643,6 @@ def _passed(sent: DataFrame, percent: int, first: bool, high: int | None) -> Dat
         none = pd.array([pd.NA] * len(over), "Int64")
         return pd.concat([out.astype("Int64"), pd.DataFrame({"a": none, "b": none, "w": none, "token": pd.array(over, "Int64")})])
 
-    sent = written(sent, "ngram-sent")
-    out = written(_dealt(sent, ["token", "band", "s", "x", "y"], rows(sent), 20_000).groupBy("bucket").applyInPandas(walk, "a long, b long, w long, token long"), "ngram-passed")
-    discard(sent)
+    out = written(_dealt(sent, ["token", "band", "s", "x", "y"], count, 20_000).groupBy("bucket").applyInPandas(walk, "a long, b long, w long, token long"), "ngram-passed")
+    release(sent.sparkSession)
     return out
