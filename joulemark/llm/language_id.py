@@ -14,14 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 ORDER = 3
 #: A context belongs to a language's tree if it was seen so often in its sample.
 LEAST = 6
-#: Labelled documents of a language that are sampled (expected number), and languages at most.
-SAMPLE, LANGUAGES = 250, 200
+#: Labelled documents of a language that are sampled (expected number), the bytes of such a document at most, and languages at most.
+SAMPLE, LONGEST, LANGUAGES = 250, 100_000, 200
 #: Bytes scored at once.
 CHUNK = 1 << 20
 
@@ -116,15 +117,16 @@ class ContextTrees:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> dict[str, list[str]]:
-    """Texts of about per_language documents of each language, chosen by a hash of the identifier."""
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    """Texts of about per_language documents of each language, chosen by a hash of the identifier, of LONGEST bytes at most
+    (so that the sample is bounded: about 25 MB a language); rows that repeat a document count once."""
+    docs = docs.where("lang is not null and text is not null").where(F.octet_length("text") <= LONGEST).select("doc_id", "text", "lang")
     counts = docs.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text").collect()
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").select("lang", "text").collect()
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in rows:
         texts[r["lang"]].append(r["text"])
@@ -137,23 +139,26 @@ def fold() -> object:
 
 
 def identify(docs: DataFrame, trees: ContextTrees, columns: list[str]) -> DataFrame:
-    """columns of docs, then lang_pred and score, from the whole text; extra columns of docs are dropped.
+    """columns of docs, then lang_pred and score, from the whole text; extra columns of docs are dropped. Where columns
+    have these names (in any case), the two are called with as many underscores in front as make them free.
 
-    Null text, empty text and text without a letter: `und`, score 0. Clashing names in columns raise Spark's own error.
+    Null text, empty text and text without a letter: `und`, score 0. Very long texts are scored whole, CHUNK bytes at a
+    time. Of languages with equal code lengths the first by name is predicted. Repeated rows are scored alike.
     """
     spark = docs.sparkSession
+    whole, pred, score = free_name("_text", columns), free_name("lang_pred", columns), free_name("score", columns)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(trees)  # bounded: the sample is
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for x in batches:
-            lang, score = trees.predict([t if isinstance(t, str) else None for t in x["_text"]])
-            yield x.drop(columns="_text").assign(lang_pred=lang, score=score)
+            found = trees.predict([t if isinstance(t, str) else None for t in x[whole]])
+            yield x.drop(columns=whole).assign(**{pred: found[0], score: found[1]})
 
-    own = docs.select(*columns, F.col("text").alias("_text"))
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "_text"), "lang_pred string", "score double"]
-    return own.mapInPandas(run, ", ".join(fields))
+    own = docs.select(*(f"`{c}`" for c in columns), F.col("text").alias(whole))
+    fields = [f for f in own.schema if f.name != whole]
+    return own.mapInPandas(run, T.StructType([*fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def train(docs: DataFrame) -> ContextTrees:

@@ -182,6 +182,22 @@ def test_mixing(spark, corpus, docs):
     assert mixing.mix(odd(spark), odd(spark).columns).count() == 4
 
 
+def test_mixing_to_given_targets(spark):
+    rows = [(i, "a b c d", "xx" if i % 4 else "yy", f"s{i % 3}", 0) for i in range(2400)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("kind", F.when(F.col("doc_id") % 5 == 0, "k1").otherwise("k2"))
+    targets = {"source": {"s0": 1, "s1": 1, "s2": 2}, "lang": {"xx": 1, "yy": 1, "absent": 0}, "topic": {"k1": 0.3, "k2": 0.7}}
+    out = mixing.mix(df, ["doc_id"], targets=targets, by=F.col("kind")).toPandas()
+    for c, want in (("_source", [0.25, 0.25, 0.5]), ("_lang", [0.5, 0.5]), ("_topic", [0.3, 0.7])):
+        got = out.groupby(c)["_weight"].sum() / out["_weight"].sum()
+        assert np.allclose(got.sort_index(), want, atol=1e-5)
+        drawn = out[out["_sampled"]].groupby(c).size() / out["_sampled"].sum()
+        assert np.allclose(drawn.sort_index(), want, atol=0.06)
+    left_out = mixing.mix(df, ["doc_id"], targets={"lang": {"yy": 1}}).toPandas()
+    assert (left_out[left_out["_lang"] == "xx"]["_prob"] == 0).all() and (left_out[left_out["_lang"] == "yy"]["_prob"] > 0).all()
+    nulls = spark.createDataFrame([(None, f"text {i}", "xx", "s", 0) for i in range(400)], DOCS)
+    assert 0 < mixing.mix(nulls, ["doc_id"], rate=0.5).where("_sampled").count() < 400
+
+
 def brute_links(v, labels, cosine=0.93):
     out = collections.defaultdict(set)
     for i, j in itertools.combinations(range(len(v)), 2):

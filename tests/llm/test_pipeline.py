@@ -87,3 +87,42 @@ def test_packing(stages):
     out = after.toPandas()
     assert set(out["doc_id"]) == {r["doc_id"] for r in before.collect()}
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+#: Names that the stages use, or have used, for columns of their own.
+NAMES = "score double, lang_pred string, _text string, _digest string, _weight double, _topic string, _source string, _factor double, _sampled boolean, id long, Component_ID long"
+
+
+def odd_rows(r):
+    word = lambda: "".join(r.choices("abcdef", k=r.randint(2, 7)))
+    long = " ".join(word() for _ in range(30_000))
+    texts = {1: "one two three four five six seven", 2: "one two three four five six seven", 3: long, 4: long + " more", 5: None, 6: "", 7: " ".join(word() for _ in range(50))}
+    extra = (9.0, "mine", "t", "d", 7.0, "x", "y", 3.0, True, 4, 5)
+    rows = [(k, t, "xx", "s", 1, *extra) for k, t in texts.items()] + [(1, texts[1], "xx", "s", 1, *extra)] * 2 + [(None, texts[1], None, None, None, *[None] * 11), (None, None, None, None, None, *[None] * 11)]
+    return rows + [(100 + i, " ".join(word() for _ in range(40)), "xx", "s", 1, *extra) for i in range(30)]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names: each stage's stated result."""
+    rows = odd_rows(random.Random(2))
+    df = spark.createDataFrame(rows, f"{COLUMNS}, {NAMES}")
+    df.write.parquet(f"{tmp_path}/in")
+    stages, df = dict(P.STAGES), spark.read.parquet(f"{tmp_path}/in")
+    got = {k: stages[k](spark, df, str(tmp_path)) for k in ("language_id", "exact_dedup", "ngram_jaccard", "mixing")}
+    assert all(x.columns == df.columns for x in got.values())
+    kept = {k: sorted((r["doc_id"] for r in x.collect()), key=str) for k, x in got.items()}
+    assert kept["language_id"] == sorted([1, 1, 1, 2, 3, 4, 7, None, *range(100, 130)], key=str)
+    assert kept["exact_dedup"] == sorted([2, 3, 4, 6, 7, *range(100, 130)], key=str)
+    assert kept["ngram_jaccard"] == sorted([1, 1, 1, 3, 5, 6, 7, None, None, *range(100, 130)], key=str)
+    assert set(kept["mixing"]) <= {1, 2, 3, 4, 7, None, *range(100, 130)} and kept["mixing"].count(1) in (0, 3)
+    values = [tuple(r) for r in got["exact_dedup"].where("doc_id = 2").collect()]
+    assert values == [rows[1]]
+    packed = stages["packing"](spark, df, str(tmp_path)).toPandas()
+    assert set(packed["doc_id"].dropna()) == {r[0] for r in rows if r[0] is not None} and (packed[packed["doc_id"] == 1]["piece"] == 0).sum() == 3
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [f(spark, df, str(tmp_path)).count() for _, f in P.STAGES] == [0] * 5
+    assert P.run(spark, str(tmp_path)).count() == 0
