@@ -32,17 +32,27 @@ def parse_timestamp(c: str, date_format: str = "%Y-%m-%d %H:%M:%S") -> Column:
     return F.try_to_timestamp(F.col(c), F.lit(spark_pattern(date_format))).cast("timestamp_ntz")
 
 
+def strict_timestamp(c: str, date_format: str = "%Y-%m-%d %H:%M:%S") -> Column:
+    """Null where the text is null; text that does not fit the format is an error when the row is read."""
+    parsed = parse_timestamp(c, date_format)
+    wrong = F.raise_error(F.concat(F.lit(f"not in the format {date_format}: "), F.col(c)))
+    return F.when(parsed.isNotNull() | F.col(c).isNull(), parsed).otherwise(wrong.cast("timestamp_ntz"))
+
+
 def ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
 def micros(c: Column | str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone (sessions run in UTC)."""
-    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+    """Microseconds since 1970 of a timestamp without zone, by its own days, hours, minutes and seconds: the session's
+    zone, in which an hour may be missing, has no part in it."""
+    t = (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
+    seconds = F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
 def from_micros(c: Column) -> Column:
-    return F.timestamp_micros(c).cast("timestamp_ntz")
+    return F.to_timestamp_ntz(F.lit("1970-01-01")) + F.make_dt_interval(secs=(c.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
 
 
 def minutes_between(a: Column, b: Column) -> Column:

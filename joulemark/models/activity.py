@@ -13,7 +13,7 @@ from .boosting import Booster
 from .splines import kalman_smooth, spline_basis, tensor, weighted_fit
 
 #: Quantiles, trees and rate of the two boundary models; the search's boxes and its price of steepness.
-HIGH, LOW, TREES, RATE = 0.99, 0.01, {0.99: 120, 0.01: 60}, 0.05
+HIGH, LOW, TREES, RATE = 0.99, 0.01, {0.99: 600, 0.01: 200}, 0.01
 C1, C2, PRICE, NOISE, ON = (5, 100), (0.1, 0.9), 0.005, 0.1, 1e-5
 
 
@@ -59,7 +59,13 @@ def extract_activity(conditions: np.ndarray, y: np.ndarray, scale: tuple[float,
     return np.clip(np.where(width > 0, (b - a) * (y - bounds[0]) / np.where(width > 0, width, 1) + a, a), a, b)
 
 
-def _weighted_error(act: np.ndarray, basis: np.ndarray, y: np.ndarray) -> float:
+def trimmed(raw: np.ndarray, c1: float, c2: float, rounded: bool = False, high: float = 1.0) -> np.ndarray:
+    """Raw activity squashed to [0, high], its ends set to 0 and 1."""
+    return snap(squash(raw, c1, c2, 0.0, high), rounded)
+
+
+def weighted_error(act: np.ndarray, basis: np.ndarray, y: np.ndarray) -> float:
+    """Mean squared error of two regressions on the weather, mixed by activity."""
     fitted = act * weighted_fit(basis, y, act) + (1 - act) * weighted_fit(basis, y, 1 - act)
     return float(np.mean((y - fitted) ** 2))
 
@@ -68,52 +74,60 @@ def _cv(y: np.ndarray, p: np.ndarray) -> float:
     return float(np.sqrt(np.mean((y - p) ** 2)) / np.mean(y))
 
 
-def _proxy(act: np.ndarray, exog: np.ndarray, y: np.ndarray, smooth: np.ndarray) -> float:
-    """How much better smoothed than raw consumption is told by activity and weather: a sign of fitting noise."""
-    basis = tensor(spline_basis(act, 3), spline_basis(exog, 4))
-    return abs(_cv(smooth, weighted_fit(basis, smooth)) - _cv(y, weighted_fit(basis, y)))
+def overfit_proxy(act: np.ndarray, exog: np.ndarray, y: np.ndarray, smooth: np.ndarray) -> float:
+    """One regression of raw consumption on activity and weather: how far its errors against smoothed and against raw
+    consumption lie apart, a sign of fitting noise."""
+    p = weighted_fit(tensor(spline_basis(act, 3), spline_basis(exog, 4)), y)
+    return abs(_cv(smooth, p) - _cv(y, p))
+
+
+def raw_activity(x: pd.DataFrame, y: np.ndarray, conditions: Sequence[str], hurdle: bool, trees: dict | None = None) -> np.ndarray:
+    """Rounded activity of all rows; under a hurdle rows without consumption are 0, and the others 0.05 at least before."""
+    on, out = ~np.isnan(y) & ((y > ON) if hurdle else True), np.zeros(len(y))
+    if on.any():
+        out[on] = round1(extract_activity(_matrix(x[on], [c for c in conditions if c in x]), y[on], (0.05, 1.0) if hurdle else (0.0, 1.0), trees))
+    return out
 
 
-def estimate(x: pd.DataFrame, y: np.ndarray, conditions: Sequence[str] = (), exog: str = "temperature", trials: int = 200, hurdle: bool = False, seed: int = 0, trees: dict | None = None) -> tuple[np.ndarray, dict]:
-    """Activity of the rows, and the parameters chosen. Rows without exog, y or a condition are 0.
+def estimate(x: pd.DataFrame, y: np.ndarray, conditions: Sequence[str] = ("temperature",), exog: str = "temperature", trials: int = 200, hurdle: bool = False, seed: int = 0, trees: dict | None = None) -> tuple[np.ndarray, dict]:
+    """Activity of the rows, and the parameters chosen; rows without y are 0.
 
     Raw activity is squashed by a sigmoid; its centre c2 is searched for the least error of two weather regressions
-    weighted by activity, its steepness c1 for the least sign of overfitting. The search draws from the same boxes by a
-    fixed seed. hurdle: rows without consumption are 0 and the rest starts at 0.05.
+    weighted by activity, its steepness c1 for the least sign of overfitting, on rows where nothing is missing. In each
+    trial activity is rescaled to 0 to 1 and trimmed. The search draws from the same boxes by a fixed seed.
     """
     y = np.asarray(y, float)
     e = x[exog].to_numpy(float)
-    known = ~np.isnan(y) & ~np.isnan(e) & (y > ON if hurdle else True)
+    known = ~np.isnan(y) & ~np.isnan(e)
     for c in conditions:
-        known &= x[c].notna().to_numpy()
-    out = np.zeros(len(y))
+        if c in x:
+            known &= x[c].notna().to_numpy()
     if known.sum() < 20:
-        return out, {}
-    own, yk, ek = x[known], y[known], e[known]
-    raw = round1(extract_activity(_matrix(own, conditions), yk, (0.05, 1.0) if hurdle else (0.0, 1.0), trees))
-    low = 0.05 if hurdle else 0.0
+        return np.zeros(len(y)), {}
+    act = raw_activity(x, y, conditions, hurdle, trees)
+    raw, yk, ek = act[known], y[known], e[known]
     r = np.random.default_rng(seed)
     basis = spline_basis(ek, 4)
     draws = [(int(r.integers(C1[0], C1[1] + 1)), float(r.uniform(*C2))) for _ in range(trials)]
-    c2 = min(draws, key=lambda c: _weighted_error(squash(raw, *c, low), basis, yk))[1]
-    smooth = np.where(yk <= ON, 0.0, kalman_smooth(yk, NOISE))
-    start = _proxy(squash(raw, C1[0], c2, low), ek, yk, smooth)
-    gain = lambda c: ((start - _proxy(squash(raw, c, c2, low), ek, yk, smooth)) / start if start > 0 else 0.0) - PRICE * c
+    c2 = min(draws, key=lambda c: weighted_error(trimmed(raw, *c), basis, yk))[1]
+    smooth = kalman_smooth(y, NOISE)[known]
+    smooth[yk <= ON] = 0.0
+    start = overfit_proxy(trimmed(raw, C1[0], c2, True), ek, yk, smooth)
+    gain = lambda c: ((start - overfit_proxy(trimmed(raw, c, c2, True), ek, yk, smooth)) / start if start > 0 else 0.0) - PRICE * c
     c1 = max(sorted({int(v) for v in r.integers(C1[0], C1[1] + 1, size=trials)}), key=gain)
-    out[known] = snap(squash(raw, c1, c2, low), True)
-    return out, {"c1": c1, "c2": c2}
+    return np.where(np.isnan(y), 0.0, trimmed(act, c1, c2, True)), {"c1": c1, "c2": c2}
 
 
 def adjust(raw: np.ndarray, y: np.ndarray, predict: Callable[[np.ndarray], np.ndarray], trials: int = 500, upper_bound: float = 2.0, seed: int = 0) -> tuple[np.ndarray, dict]:
     """Activity with which a trained predictor comes closest to y: a search over the bound of the scale and the sigmoid."""
-    r, best = np.random.default_rng(seed), (np.inf, None, {})
+    r, best = np.random.default_rng(seed), (np.inf, np.zeros(len(y)), {})
     for _ in range(trials):
-        p = {"true_bound": float(r.uniform(0.1, upper_bound)), "c1": int(r.integers(5, 51)), "c2": float(r.uniform(*C2))}
-        act = snap(squash(raw, p["c1"], p["c2"], 0.0, p["true_bound"]))
+        p = {"true_bound": float(r.uniform(0, upper_bound)), "c1": int(r.integers(5, 51)), "c2": float(r.uniform(*C2))}
+        act = trimmed(raw, p["c1"], p["c2"], True, p["true_bound"])
         error = float(np.mean((y - predict(act)) ** 2))
         if error < best[0]:
             best = (error, act, p)
-    return snap(best[1], True), best[2]
+    return best[1], best[2]
 
 
 def markov(y: np.ndarray, exog: np.ndarray, bins: int = 5, rounds: int = 40) -> np.ndarray:
@@ -160,7 +174,7 @@ def _key_schema(df: DataFrame, keys: Sequence[str], ts: str) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in (*keys, ts))
 
 
-def estimate_activity(df: DataFrame, conditions: Sequence[str] = ("_hour",), exog: str = "temperature", column: str = "consumption", n_trials: int = 200, assume_hurdle: bool = False, seed: int = 0, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def estimate_activity(df: DataFrame, conditions: Sequence[str] = ("temperature",), exog: str = "temperature", column: str = "consumption", n_trials: int = 200, assume_hurdle: bool = False, seed: int = 0, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """keys, ts and activity of each site's rows. conditions may name _hour and _weekday besides df's columns."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:

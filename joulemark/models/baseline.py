@@ -16,7 +16,7 @@ from ..operators.common import KEYS, TS
 from ..operators.features import SafeOrdinalEncoder, add_calendar, create_lagged
 from ..operators.validation import same_columns
 from ..sources.session import ship
-from .activity import _matrix, adjust, extract_activity, with_time
+from .activity import _matrix, adjust, raw_activity, with_time
 from .boosting import train_boost
 
 #: Parameters of the physical model and the boxes of their priors; alpha and beta go by the data.
@@ -34,7 +34,7 @@ class UsagePredictor:
     cat_features: Sequence[str] = ()
     validation_size: float = 0.2
     skip_calendar: bool = False
-    iterations: int = 300
+    iterations: int = 10_000
     keys: Sequence[str] = KEYS
     ts: str = TS
     encoder: SafeOrdinalEncoder | None = None
@@ -52,7 +52,7 @@ class UsagePredictor:
 
     def fit(self, x: DataFrame, y: DataFrame) -> UsagePredictor:
         self.columns = list(x.columns)
-        self.encoder = SafeOrdinalEncoder(self.cat_features).fit(x, self.keys)
+        self.encoder = SafeOrdinalEncoder([c for c in self.cat_features if c in x.columns]).fit(x, self.keys)
         data = self._prepared(x).join(y.select(*self.keys, self.ts, "consumption"), [*self.keys, self.ts]).where("consumption is not null")
         inputs, ts, keys, size, most = self._inputs(data), self.ts, list(self.keys), self.validation_size, self.iterations
         ship(x.sparkSession)
@@ -98,24 +98,25 @@ class UsagePredictor:
         return cls(**settings, models=spark.read.parquet(f"{path}/models"))
 
 
-def adjust_activity(df: DataFrame, predictor: UsagePredictor, conditions: Sequence[str] = ("_hour",), column: str = "consumption", n_trials: int = 500, upper_bound: float = 2.0, seed: int = 0, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def adjust_activity(df: DataFrame, predictor: UsagePredictor, conditions: Sequence[str] = ("temperature",), column: str = "consumption", n_trials: int = 500, upper_bound: float = 2.0, assume_hurdle: bool = False, seed: int = 0, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """keys, ts and the activity under which each site's trained model tells its new consumption best.
 
-    predictor was fitted to activity among other features, without categories and lags of it; df has its features but
-    activity, and consumption."""
-    inputs = [c for c in predictor.columns if c not in (*keys, ts)]
-    if "activity" not in inputs:
+    predictor was fitted to activity among other features, without lags of it; df has its features but activity, and
+    consumption. Under a hurdle rows without consumption have raw activity 0."""
+    if "activity" not in predictor.columns:
         raise ValueError("the predictor knows no activity")
+    if "activity" in predictor.lags:
+        raise ValueError("the predictor knows lags of activity")
     ship(df.sparkSession)
-    data = df if predictor.skip_calendar else add_calendar(df, ts)
-    order = [*inputs] if predictor.skip_calendar else [*inputs, "hour", "dayofweek", "week"]
+    data = predictor._prepared(df.withColumn("activity", F.lit(0.0)).select(*predictor.columns, column))
+    order = predictor._inputs(data)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({**{c: left[c].head(0) for c in (*keys, ts)}, "activity": pd.Series(dtype=float)})
         x = with_time(left.sort_values(ts), ts).dropna(subset=[column])
         model, y = pickle.loads(right["model"].iat[0]), x[column].to_numpy(float)
-        raw = extract_activity(_matrix(x, conditions), y)
+        raw = raw_activity(x, y, conditions, assume_hurdle)
         act, _ = adjust(raw, y, lambda a: model.predict(_matrix(x.assign(activity=a), order)), n_trials, upper_bound, seed)
         return x[[*keys, ts]].assign(activity=act)
 

@@ -99,7 +99,7 @@ class Booster:
         return out
 
 
-def train_boost(x: np.ndarray, y: np.ndarray, validation_size: float = 0.2, iterations: int = 300, floor: int = 100, patience: int = 100) -> tuple[Booster, dict[str, float]]:
+def train_boost(x: np.ndarray, y: np.ndarray, validation_size: float = 0.2, iterations: int = 10_000, floor: int = 100, patience: int = 100) -> tuple[Booster, dict[str, float]]:
     """Rows in order of time: the last share is held out, its best iteration (floor at least) is the number of trees, and
     the model is fitted again to all rows. Scores: errors of learning and held-out rows, and the latter's CVRMSE."""
     n = len(y) - int(np.ceil(round(validation_size * len(y), 9)))

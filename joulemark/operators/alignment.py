@@ -129,51 +129,71 @@ def align_cumulative(left: DataFrame, right: DataFrame, align: Callable[[DataFra
     return met.select(*keys, ts, *(((F.col(f"`{v}`") - F.lag(f"`{v}`").over(w)) / minutes).alias(v) for v in values))
 
 
-def align_to_index(data: DataFrame, index: DataFrame, mode: str | None = None, tolerance: float | None = None, cumulative: bool = False, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def of_column(setting, column: str):
+    """What a setting, for all columns or a dict by column, says of one."""
+    return setting.get(column) if isinstance(setting, dict) else setting
+
+
+def align_to_index(
+    data: DataFrame, index: DataFrame, mode: str | dict | None = None, tolerance: float | str | dict | None = None, cumulative: bool | dict = False, keys: Sequence[str] = KEYS, ts: str = TS,
+) -> DataFrame:
     """index's keys and ts with data's values, joined as the two time steps ask for.
 
     Equal steps: exactly. Both below a day: numbers by mode (`value` or `distance`) within tolerance seconds, as rates
     if cumulative; other columns by distance; without mode or tolerance, exactly. Daily data on a finer index: filled
-    within the day. Finer data on a daily index: an error. Sites may differ; each kind of site is joined in its own way.
+    within the day. Finer data on a daily index: an error. mode, tolerance and cumulative are for all columns, or dicts by
+    column. Sites may differ; each kind of site is joined in its own way. A site without a step, as it has one time or
+    none on either side, is joined exactly; all of index's rows stay.
     """
-    if mode not in (None, "value", "distance"):
-        raise ValueError("mode is value or distance")
-    pairs = time_step(data, keys, ts).withColumnRenamed("step", "d").join(time_step(index, keys, ts).withColumnRenamed("step", "i"), list(keys))
+    values = [f for f in data.schema if f.name not in (*keys, ts)]
+    if wrong := {m for f in values if (m := of_column(mode, f.name)) not in (None, "value", "distance")}:
+        raise ValueError(f"mode is value or distance, not {', '.join(map(str, wrong))}")
+    sites = index.select(*keys).distinct().join(time_step(data, keys, ts).withColumnRenamed("step", "d"), list(keys), "left").join(time_step(index, keys, ts).withColumnRenamed("step", "i"), list(keys), "left")
     # kinds of sites, not sites, decide the plan: four at most
-    kind = F.when(F.col("d") == F.col("i"), "same").when((F.col("d") < DAY) & (F.col("i") < DAY), "fine").when(F.col("d") >= DAY, "daily").otherwise("coarse")
-    sites = pairs.select(*keys, kind.alias("_kind"))
+    kind = F.when(F.col("d").isNull() | F.col("i").isNull() | (F.col("d") == F.col("i")), "same").when((F.col("d") < DAY) & (F.col("i") < DAY), "fine").when(F.col("d") >= DAY, "daily").otherwise("coarse")
+    sites = sites.select(*keys, kind.alias("_kind"))
     kinds = {r["_kind"] for r in sites.select("_kind").distinct().collect()}
     if "coarse" in kinds:
         raise NotImplementedError("data finer than a daily index are not aligned")
-    values = [f for f in data.schema if f.name not in (*keys, ts)]
     parts = []
     for k in sorted(kinds) or ["same"]:
         own = lambda df, k=k: df.join(sites.where(F.col("_kind") == k).select(*keys), list(keys), "left_semi") if len(kinds) > 1 else df
         x, at = own(data), own(index)
         if k == "daily":
             parts.append(align_daily(at, x, keys, ts))
-        elif k == "same" or not (mode and tolerance):
+        elif k == "same":
             parts.append(exact(at, x, keys, ts))
         else:
-            floats = [f.name for f in values if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-            others = [f.name for f in values if f.name not in floats]
-            near = lambda a, b: asof_nearest(a, b, tolerance, keys, ts)
-            line = lambda a, b: align_by_value(a, b, tolerance, keys, ts)
-            how = line if mode == "value" else near
-            out = at.select(*keys, ts)
-            if floats:
-                some = x.select(*keys, ts, *(f"`{c}`" for c in floats))
-                out = align_cumulative(at, some, how, keys, ts) if cumulative else how(at, some)
-            if others:
-                more = near(at, x.select(*keys, ts, *(f"`{c}`" for c in others)))
-                out = out.join(more, [*keys, ts], "left")
-            parts.append(out.select(*keys, ts, *(f"`{f.name}`" for f in values)))
+            parts.append(_align_fine(x, at, values, mode, tolerance, cumulative, keys, ts))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _align_fine(data: DataFrame, index: DataFrame, values: list, mode, tolerance, cumulative, keys: Sequence[str], ts: str) -> DataFrame:
+    """Columns that go by the same mode, tolerance and kind are joined together."""
+    ways: dict[tuple, list[str]] = {}
+    for f in values:
+        within = seconds(of_column(tolerance, f.name))
+        how, floating = of_column(mode, f.name), isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        if not (how and within):
+            way = ("exact", None, False)
+        else:
+            way = (how if floating else "distance", within, floating and bool(of_column(cumulative, f.name)))
+        ways.setdefault(way, []).append(f.name)
+    out = index.select(*keys, ts)
+    for (how, within, rates), columns in ways.items():
+        some = data.select(*keys, ts, *(f"`{c}`" for c in columns))
+        if how == "exact":
+            more = exact(index, some, keys, ts)
+        else:
+            join = (lambda a, b, w=within: align_by_value(a, b, w, keys, ts)) if how == "value" else (lambda a, b, w=within: asof_nearest(a, b, w, keys, ts))
+            more = align_cumulative(index, some, join, keys, ts) if rates else join(index, some)
+        out = out.join(more, [*keys, ts], "left")
+    return out.select(*keys, ts, *(f"`{f.name}`" for f in values))
+
+
 def concat_frames(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """Side by side, by an outer join on keys and ts."""
     out = frames[0]
@@ -182,8 +202,10 @@ def concat_frames(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts: s
     return out
 
 
-def merge_data_list(frames: Sequence[DataFrame], primary: DataFrame, mode: str | None = None, tolerance: float | None = None, cumulative: bool = False, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """All frames aligned to primary's index, side by side."""
+def merge_data_list(
+    frames: Sequence[DataFrame], primary: DataFrame, mode: str | dict | None = None, tolerance: float | str | dict | None = None, cumulative: bool | dict = False, keys: Sequence[str] = KEYS, ts: str = TS,
+) -> DataFrame:
+    """All frames aligned to primary's index, side by side; settings for all columns, or by column."""
     out = primary.select(*keys, ts)
     for df in frames:
         out = out.join(align_to_index(df, primary, mode, tolerance, cumulative, keys, ts), [*keys, ts], "left")
@@ -206,7 +228,7 @@ def union_partitions(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts
     return out
 
 
-def validate_partitions(frames: Sequence[DataFrame], primary: DataFrame | None = None, mode: str | None = None, tolerance: float | None = None, cumulative: bool = False, names: dict | None = None, date_format: str = "%Y-%m-%d %H:%M:%S", threshold: float = 0.25, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def validate_partitions(frames: Sequence[DataFrame], primary: DataFrame | None = None, mode: str | dict | None = None, tolerance: float | str | dict | None = None, cumulative: bool | dict = False, names: dict | None = None, date_format: str = "%Y-%m-%d %H:%M:%S", threshold: float = 0.25, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """Every partition validated, then united by its columns and, if there are several sets of columns, aligned to primary."""
     groups = union_partitions([validate_dataset(df, names, date_format, threshold, keys, ts) for df in frames], keys, ts)
     if primary is None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.helpers import json_value
-from ..functions.scalars import categorical_columns, parse_timestamp
+from ..functions.scalars import categorical_columns, strict_timestamp
 from .common import KEYS, TS
 
 NO_VALUE = "_novalue_"
@@ -145,7 +145,8 @@ def remove_duplicate_dates(df: DataFrame, threshold: float = 0.25, keys: Sequenc
 
 
 def validate_dataset(df: DataFrame, names: dict[str, str | None] | None = None, date_format: str = "%Y-%m-%d %H:%M:%S", threshold: float = 0.25, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """Names rebound, the timestamp column parsed and without nulls, duplicates merged, unnamed columns dropped.
+    """Names rebound, the timestamp column parsed and without nulls, duplicates merged, unnamed columns dropped. Text that
+    does not fit date_format is an error.
 
     The column is called timestamp, or ts already. Rows are merged only if a site has a time twice, which a count shows."""
     df = drop_unnamed(rebind_names(df, names))
@@ -155,7 +156,7 @@ def validate_dataset(df: DataFrame, names: dict[str, str | None] | None = None,
         df = df.withColumnRenamed("timestamp", ts)
     kind = df.schema[ts].dataType
     if isinstance(kind, T.StringType):
-        df = df.withColumn(ts, parse_timestamp(ts, date_format))
+        df = df.withColumn(ts, strict_timestamp(ts, date_format))
     elif not isinstance(kind, T.TimestampNTZType):
         df = df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     df = df.where(F.col(ts).isNotNull())

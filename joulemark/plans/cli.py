@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.helpers import dotted, parse_options
+from ..functions.helpers import dotted, parse_options, split_options
 from ..models.baseline import UsagePredictor
 from ..sources.catalog import FORMATS, NAMESPACES, Catalog, RunLog
 from ..sources.session import session
@@ -41,6 +41,8 @@ def predict(spark: SparkSession, c: Catalog, s: P.Settings, args: argparse.Names
         model.save(path)
     model = UsagePredictor.load(spark, path)
     c.save(P.predict_autoenc(model, x, activity, s) if args.autoenc else P.predict(model, x), name)
+    if c.namespace == "train":
+        c.save(P.in_sample(y, c.load(spark, name), activity, s), "metrics-autoenc" if args.autoenc else "metrics")
 
 
 def evaluate(spark: SparkSession, c: Catalog, s: P.Settings, args: argparse.Namespace) -> None:
@@ -63,6 +65,23 @@ def adjust(spark: SparkSession, c: Catalog, s: P.Settings, args: argparse.Namesp
 
 
 PIPELINES: dict[str, list[Callable]] = {"preprocess": [preprocess], "predict": [predict], "evaluate": [evaluate], "adjust": [adjust], "all": [preprocess, predict, evaluate]}
+#: What each step reads and writes, by which a run may be cut.
+READS = {"preprocess": ("features", "labels"), "predict": ("preprocessed", "activity-adjusted"), "evaluate": ("prediction", "activity"), "adjust": ("preprocessed", "model")}
+WRITES = {"preprocess": ("preprocessed", "adequacy"), "predict": ("activity", "model", "prediction"), "evaluate": ("metrics", "impact"), "adjust": ("activity-adjusted",)}
+
+
+def sliced(steps: list[Callable], nodes: list[str] = (), from_nodes: list[str] = (), to_nodes: list[str] = (), from_inputs: list[str] = (), to_outputs: list[str] = ()) -> list[Callable]:
+    """The steps named; those from the first named, or that reads an input named, on; those up to the last named, or that
+    writes an output named. A name that no step has is an error."""
+    names = [f.__name__ for f in steps]
+    known = {"node": set(names), "input": {x for n in names for x in READS[n]}, "output": {x for n in names for x in WRITES[n]}}
+    for kind, given in (("node", (*nodes, *from_nodes, *to_nodes)), ("input", from_inputs), ("output", to_outputs)):
+        if absent := sorted(set(given) - known[kind]):
+            raise ValueError(f"no {kind} {', '.join(absent)} in {', '.join(names)}")
+    starts = [i for i, n in enumerate(names) if n in from_nodes or set(READS[n]) & set(from_inputs)]
+    ends = [i for i, n in enumerate(names) if n in to_nodes or set(WRITES[n]) & set(to_outputs)]
+    steps = steps[min(starts, default=0) : max(ends, default=len(steps)) + 1]
+    return [f for f in steps if not nodes or f.__name__ in nodes]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,6 +95,12 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--input-uri")
     run.add_argument("--input-format", choices=FORMATS, default="parquet")
     run.add_argument("--load-arg", action="append", default=[], metavar="KEY=VALUE")
+    for name in ("features", "labels"):
+        run.add_argument(f"--{name}-format", choices=FORMATS, help=f"of the {name} alone")
+        run.add_argument(f"--{name}-load-arg", action="append", default=[], metavar="KEY=VALUE")
+    for name in ("from-inputs", "to-outputs", "from-nodes", "to-nodes"):
+        run.add_argument(f"--{name}", type=split_options, default=[], metavar="A,B")
+    run.add_argument("--node", action="append", default=[], metavar="NAME")
     run.add_argument("--param", action="append", default=[], metavar="KEY=VALUE", help="a setting, such as alignment.mode=value")
     run.add_argument("--config", help="a JSON file of settings")
     run.add_argument("--autoenc", action="store_true")
@@ -92,15 +117,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Ca
         values[k] = values.get(k, {}) | v if isinstance(v, dict) else v
     default = P.Settings()
     settings = P.Settings(**{k: getattr(default, k) | v if isinstance(v, dict) else v for k, v in values.items()})
-    c = Catalog(args.store_uri, args.site, args.namespace, args.batch, args.input_format, parse_options(args.load_arg), args.input_uri, args.track, args.run_id)
+    steps = sliced(PIPELINES[args.pipeline], args.node, args.from_nodes, args.to_nodes, args.from_inputs, args.to_outputs)
+    formats = {k: getattr(args, f"{k}_format") or args.input_format for k in ("features", "labels")}
+    loads = {k: parse_options(args.load_arg) | parse_options(getattr(args, f"{k}_load_arg")) for k in ("features", "labels")}
+    c = Catalog(args.store_uri, args.site, args.namespace, args.batch, formats, loads, args.input_uri, args.track, args.run_id)
     log = RunLog(f"{args.store_uri.rstrip('/')}/{args.site}/runs_log")
     if c.tracked:
         log.params(spark, c.run_id, values | {"pipeline": args.pipeline, "namespace": args.namespace})
-    for step in PIPELINES[args.pipeline]:
+    for step in steps:
         if step is evaluate and args.pipeline == "all" and args.namespace == "train":
             continue
         step(spark, c, settings, args)
-        if c.tracked and step is evaluate and c.namespace == "test":
+        if c.tracked and (step is evaluate and c.namespace == "test" or step is predict and c.namespace == "train"):
             for r in c.load(spark, "metrics-autoenc" if args.autoenc else "metrics").toLocalIterator():
                 log.metrics(spark, c.run_id, {r["site_id"]: {k: r[k] for k in ("CVRMSE", "NMBE", "MSE")}})
     return c

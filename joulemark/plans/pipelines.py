@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..models.activity import estimate_activity
 from ..models.baseline import UsagePredictor, adjust_activity
 from ..operators.adequacy import check_data_adequacy, expand_dates, filter_data
-from ..operators.alignment import impact, seconds, semi, validate_partitions, with_activity
+from ..operators.alignment import impact, semi, validate_partitions, with_activity
 from ..operators.features import in_use
 from ..operators.metrics import errors
 from ..operators.validation import fill_categorical, only_consumption
@@ -19,31 +19,33 @@ from ..operators.validation import fill_categorical, only_consumption
 
 @dataclass
 class Settings:
-    """What the pipelines go by."""
+    """What the pipelines go by. alignment: mode, tolerance (seconds, or text such as 180min) and cumulative, each for all
+    columns or by column. conditions are what the quantile regressions of activity see; _hour and _weekday may be among
+    them. Names that a table lacks are passed over."""
 
     rebind_names: dict = field(default_factory=dict)
     date_format: str = "%Y-%m-%d %H:%M:%S"
     threshold: float = 0.25
-    alignment: dict = field(default_factory=lambda: {"mode": "value", "tolerance": "60min", "cumulative": False})
+    alignment: dict = field(default_factory=lambda: {"mode": {"temperature": "value"}, "tolerance": {"temperature": "180min"}, "cumulative": {"temperature": False, "consumption": True}})
     filter: dict = field(default_factory=dict)
     max_missing_pct: float = 0.1
     exog: str = "temperature"
-    conditions: Sequence[str] = ("_hour",)
-    cat_features: Sequence[str] = ()
-    lags: dict = field(default_factory=dict)
+    conditions: Sequence[str] = ("temperature",)
+    cat_features: Sequence[str] = ("holiday",)
+    lags: dict = field(default_factory=lambda: {"temperature": [1, 2, 24]})
     n_trials: int = 200
     n_trials_adjust: int = 500
     upper_bound: float = 2.0
     assume_hurdle: bool = False
     validation_size: float = 0.2
-    iterations: int = 300
+    iterations: int = 10_000
 
 
 def validate_inputs(features: Sequence[DataFrame], labels: Sequence[DataFrame], s: Settings) -> tuple[DataFrame, DataFrame]:
     """Labels first; features are aligned to their times. Categories that miss become a value, labels that miss go."""
     y = only_consumption(validate_partitions(labels, names=s.rebind_names, date_format=s.date_format, threshold=s.threshold))
     a = s.alignment
-    x = validate_partitions(features, y, a.get("mode"), seconds(a.get("tolerance")), bool(a.get("cumulative")), s.rebind_names, s.date_format, s.threshold)
+    x = validate_partitions(features, y, a.get("mode"), a.get("tolerance"), a.get("cumulative") or False, s.rebind_names, s.date_format, s.threshold)
     y = y.dropna(subset=["consumption"])
     return semi(fill_categorical(x), y), y
 
@@ -69,6 +71,7 @@ def predictor(s: Settings, skip_calendar: bool = False) -> UsagePredictor:
 
 
 def fit_predict(features: DataFrame, labels: DataFrame, s: Settings) -> tuple[UsagePredictor, DataFrame]:
+    """The model and what it says of its own rows; in_sample has the errors."""
     model = predictor(s).fit(features, labels)
     return model, model.predict(features)
 
@@ -83,6 +86,11 @@ def fit_predict_autoenc(features: DataFrame, labels: DataFrame, activity: DataFr
     return model, model.predict(x)
 
 
+def in_sample(labels: DataFrame, prediction: DataFrame, activity: DataFrame | None = None, s: Settings | None = None) -> DataFrame:
+    """CVRMSE and NMBE of a fitted model on its own rows; under a hurdle, of those in use."""
+    return errors(labels, prediction) if activity is None else evaluate_on_test_autoenc(labels, prediction, activity, s)
+
+
 def predict(model: UsagePredictor, features: DataFrame) -> DataFrame:
     return model.predict(features)
 
@@ -114,4 +122,4 @@ def evaluate_on_apply_autoenc(labels: DataFrame, prediction: DataFrame, activity
 
 def adjust_levels(features: DataFrame, labels: DataFrame, model: UsagePredictor, s: Settings) -> DataFrame:
     both = features.join(labels.select("site_id", "ts", "consumption"), ["site_id", "ts"])
-    return adjust_activity(both, model, s.conditions, n_trials=s.n_trials_adjust, upper_bound=s.upper_bound)
+    return adjust_activity(both, model, s.conditions, n_trials=s.n_trials_adjust, upper_bound=s.upper_bound, assume_hurdle=s.assume_hurdle)

@@ -23,13 +23,15 @@ NAMESPACES = ("train", "test", "apply")
 
 @dataclass
 class Catalog:
-    """A site's datasets below store_uri. tracked: outputs of a run lie below its identifier, so that runs stay apart."""
+    """A site's datasets below store_uri. tracked: outputs of a run lie below its identifier, so that runs stay apart.
+
+    input_format and load_args are of both inputs, or dicts by input (features, labels)."""
 
     store_uri: str
     site: str
     namespace: str = "train"
     batch: str | None = None
-    input_format: str = "parquet"
+    input_format: str | dict = "parquet"
     load_args: dict = field(default_factory=dict)
     input_uri: str | None = None
     tracked: bool = False
@@ -38,7 +40,7 @@ class Catalog:
     def __post_init__(self) -> None:
         if self.namespace not in NAMESPACES:
             raise ValueError(f"namespace is one of {', '.join(NAMESPACES)}")
-        if self.input_format not in FORMATS:
+        if any(f not in FORMATS for f in (self.input_format.values() if isinstance(self.input_format, dict) else [self.input_format])):
             raise ValueError(f"format is one of {', '.join(FORMATS)}")
         if self.batch is not None and self.namespace != "apply":
             raise ValueError("only namespace apply has batches")
@@ -57,13 +59,29 @@ class Catalog:
         return f"{base}{run}/{layer}/{name}" if name.startswith("model") else f"{base}{run}/{layer}/{scope}/{name}"
 
     def partitions(self, spark: SparkSession, name: str) -> list[DataFrame]:
-        """The files of an input, those with the same columns as one table; with site_id and NaN as null."""
-        reader = lambda: spark.read.format(self.input_format).options(**(FORMATS[self.input_format] | {k: str(v) for k, v in self.load_args.items()}))
-        files = sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path(name)).select("path").collect())  # names only
-        groups: dict[tuple, list[str]] = {}
-        for f in files:
-            groups.setdefault(tuple(sorted(reader().load(f).columns)), []).append(f)
-        return [self._site(nan_to_null(reader().load(own))) for own in groups.values()]
+        """The files of an input, those with the same columns as one table, by name; with site_id and NaN as null.
+
+        Files whose columns have the same order are read at once; of csv files one job finds the orders."""
+        kind = self.input_format.get(name, "parquet") if isinstance(self.input_format, dict) else self.input_format
+        by_input = bool(self.load_args) and all(k in ("features", "labels") and isinstance(v, dict) for k, v in self.load_args.items())
+        options = FORMATS[kind] | {k: str(v) for k, v in (self.load_args.get(name, {}) if by_input else self.load_args).items()}
+        reader = lambda: spark.read.format(kind).options(**options)
+        orders: dict[tuple, list[str]] = {}
+        if kind == "csv" and options["header"].lower() == "true":
+            lines = spark.read.option("recursiveFileLookup", "true").text(self.path(name)).where("value <> '' and _metadata.file_block_start = 0")
+            heads = lines.select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("at")).groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
+            for r in sorted(heads.collect()):  # a line of each file
+                orders.setdefault((r["head"],), []).append(r["file_path"])
+        else:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path(name)).select("path")
+            for f in sorted(r[0] for r in files.collect()):  # names only
+                orders.setdefault(tuple(reader().load(f).columns), []).append(f)
+        groups: dict[frozenset, DataFrame] = {}
+        for own in orders.values():
+            df = reader().load(own)
+            columns = frozenset(df.columns)
+            groups[columns] = groups[columns].unionByName(df) if columns in groups else df
+        return [self._site(nan_to_null(df)) for df in groups.values()]
 
     def _site(self, df: DataFrame) -> DataFrame:
         return df if "site_id" in df.columns else df.select(F.lit(self.site).alias("site_id"), "*")

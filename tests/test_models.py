@@ -161,3 +161,58 @@ def test_helpers():
         assert H.json_value({"a": np.int64(1), "d": decimal.Decimal("0.10000000000000000001"), "t": dt.date(2024, 1, 1), "s": {2, 1}, "n": float("nan")}) == {"a": 1, "d": 0.1, "t": "2024-01-01", "s": [1, 2], "n": None}
     with pytest.raises(TypeError):
         H.ensure_json(object())
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "s/01_raw/train/features"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("timestamp;temperature;humidity\n2024-01-01 00:00:00;1.5;50\n")
+    (folder / "b.csv").write_text("timestamp;humidity;temperature\n2024-01-01 01:00:00;60.5;2\n")
+    (folder / "c.csv").write_text("timestamp;holiday\n2024-01-01 00:00:00;yes\n")
+    c = Catalog(str(tmp_path), "s", input_format={"features": "csv", "labels": "parquet"}, load_args={"features": {"sep": ";"}, "labels": {}})
+    parts = {frozenset(df.columns): df for df in c.partitions(spark, "features")}
+    both = parts[frozenset({"site_id", "timestamp", "temperature", "humidity"})]
+    assert {(r["temperature"], r["humidity"]) for r in both.collect()} == {(1.5, 50.0), (2.0, 60.5)} and dict(both.dtypes)["temperature"] == "double"
+    assert parts[frozenset({"site_id", "timestamp", "holiday"})].count() == 1
+
+
+def test_runs_are_cut_by_nodes():
+    names = lambda **k: [f.__name__ for f in cli.sliced(cli.PIPELINES["all"], **k)]
+    assert names() == ["preprocess", "predict", "evaluate"] and names(nodes=["predict"]) == ["predict"]
+    assert names(from_nodes=["predict"]) == names(from_inputs=["preprocessed"]) == ["predict", "evaluate"]
+    assert names(to_nodes=["predict"]) == names(to_outputs=["model"]) == ["preprocess", "predict"]
+    with pytest.raises(ValueError):
+        names(nodes=["absent"])
+
+
+def test_objectives_of_the_activity_search():
+    """Against their definitions, written out."""
+    r = np.random.default_rng(3)
+    raw, exog = np.floor(r.uniform(size=80) * 10 + 0.5) / 10, r.uniform(0, 30, 80)
+    y = 5 + 10 * raw + exog + r.normal(size=80)
+    c1, c2 = 20, 0.4
+    s = 1 / (1 + np.exp(-c1 * (raw - c2)))
+    s = (s - s.min()) / (s.max() - s.min())
+    plain = np.array([0 if v < 0.1 else 1 if v > 0.9 else v for v in s])
+    assert np.allclose(A.trimmed(raw, c1, c2), plain)
+    rounded = np.array([0 if v < 0.1 else 1 if v > 0.9 else np.floor(v * 10 + 0.5) / 10 for v in s])
+    assert np.allclose(A.trimmed(raw, c1, c2, True), rounded)
+    basis = spline_basis(exog, 4)
+
+    def solved(b, w):
+        return b @ np.linalg.pinv(b.T @ (b * w[:, None])) @ (b.T @ (w * y))
+
+    expected = np.mean((y - plain * solved(basis, plain) - (1 - plain) * solved(basis, 1 - plain)) ** 2)
+    assert A.weighted_error(plain, basis, y) == pytest.approx(expected, rel=1e-6)
+    full = np.array([np.outer(a, b).ravel() for a, b in zip(spline_basis(rounded, 3), basis, strict=True)])
+    p = solved(full, np.ones(80))
+    smooth = kalman_smooth(y)
+    cv = lambda v: np.sqrt(np.mean((v - p) ** 2)) / np.mean(v)
+    assert A.overfit_proxy(rounded, exog, y, smooth) == pytest.approx(abs(cv(smooth) - cv(y)), rel=1e-4)
+
+
+def test_hurdle():
+    x = building()
+    y = np.where(x["busy"] == 1, x["consumption"], 0.0)
+    act, _ = A.estimate(A.with_time(x), y, trials=20, hurdle=True, trees={0.99: 60, 0.01: 40})
+    assert (act[y == 0] == 0).all() and act[y > 0].mean() > 0.3

@@ -167,7 +167,7 @@ def test_checks_keep_errors_as_data(spark):
 
 
 def test_validate_parses_and_merges(spark):
-    df = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "never", 2.0), ("a", None, 3.0), ("a", "2024-01-01 01:00:00", 4.0)], "site_id string, timestamp string, value double")
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", None, 2.0), ("a", None, 3.0), ("a", "2024-01-01 01:00:00", 4.0)], "site_id string, timestamp string, value double")
     assert values(validation.validate_dataset(df)) == [1, 4]
     with pytest.raises(ValueError):
         validation.validate_dataset(df.drop("timestamp"))
@@ -192,3 +192,48 @@ def test_split_and_rounding(spark):
 def test_lookup_raises(spark):
     with pytest.raises(Exception, match="no row"):
         alignment.lookup_rows(frame(spark, [("00:00:00", 1.0)]), frame(spark, [("05:00:00", 1.0)])).collect()
+
+
+def series(spark, rows, *columns):
+    return spark.createDataFrame([(k, f"2024-01-{d:02d} {h}", *v) for k, d, h, *v in rows], "site_id string, time_text string" + "".join(f", {c} double" for c in columns)).selectExpr("site_id", "cast(time_text as timestamp_ntz) ts", *columns)
+
+
+def test_align_to_index_keeps_all_sites(spark):
+    """Sites of equal steps, of finer data, of daily data, with one row, and without data: no row of the index goes."""
+    hours = [f"{h:02d}:00:00" for h in range(4)]
+    index = series(spark, [(k, 1, h) for k in ("same", "fine", "daily", "none") for h in hours] + [("one", 1, "02:00:00")])
+    data = [("same", 1, h, 1.0 + i) for i, h in enumerate(hours)] + [("fine", 1, f"0{h}:{m}:00", h + int(m) / 60) for h in range(4) for m in ("05", "35")] + [("daily", d, "00:00:00", 10.0 * d) for d in (1, 2, 3)]
+    data = series(spark, [*data, ("one", 1, "02:00:00", 7.0), ("none", 1, "01:00:00", 8.0)], "x")
+    out = {(r["site_id"], r["ts"].hour): r["x"] for r in alignment.align_to_index(data, index, "distance", "10min").collect()}
+    assert len(out) == 17 and [out["same", h] for h in range(4)] == [1, 2, 3, 4] and [out["daily", h] for h in range(4)] == [10] * 4
+    assert [round(out["fine", h], 3) for h in range(4)] == [round(h + 5 / 60, 3) for h in range(4)]
+    assert out["one", 2] == 7 and [out["none", h] for h in range(4)] == [None, 8, None, None]
+    only = alignment.align_to_index(data.where("site_id in ('same', 'one')"), index.where("site_id in ('same', 'one')"), "value", 600)
+    assert only.count() == 5
+
+
+def test_alignment_by_column(spark):
+    index = series(spark, [("a", 1, f"{h:02d}:00:00") for h in range(4)])
+    data = series(spark, [("a", 1, f"{h:02d}:{m:02d}:00", float(h * 60 + m), 1.0, float(h)) for h in range(4) for m in (15, 30, 45)], "t", "q", "z")
+    out = alignment.align_to_index(data, index, {"t": "value", "q": "distance"}, {"t": "180min", "q": 900}, {"q": True}).orderBy("ts").collect()
+    assert [r["t"] for r in out] == [None, 60, 120, 180] and [r["z"] for r in out] == [None] * 4
+    assert [r["q"] for r in out] == [None, pytest.approx(2 / 60), pytest.approx(3 / 60), pytest.approx(3 / 60)]
+    with pytest.raises(ValueError):
+        alignment.align_to_index(data, index, {"t": "nearest"})
+
+
+def test_text_that_is_no_time_is_an_error(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", None, 2.0)], "site_id string, timestamp string, x double")
+    assert validation.validate_dataset(df).count() == 1
+    with pytest.raises(Exception, match="not in the format"):
+        validation.validate_dataset(df, date_format="%d.%m.%Y %H:%M").collect()
+
+
+def test_hours_that_a_zone_lacks(spark):
+    df = series(spark, [("a", 31, f"{h:02d}:00:00", float(h)) for h in range(6)], "x").selectExpr("site_id", "ts + interval '60' day as ts", "x")  # 31 March
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert adequacy.steps(df).count() == 5 and alignment.time_step(df).first()["step"] == 3_600_000_000
+        assert adequacy.expand_dates(df).where("x is not null").count() == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
