@@ -16,17 +16,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup, small_batches, written
+from .common import connected_components, rows, small_batches, written
 
 THRESHOLD = 0.93
 #: Points of a cell, about; pivots of a label at most (denser cells are dealt on by a hash); leaves of a tree.
-CELL, PIVOTS, LEAF = 1500, 64, 48
+CELL, PIVOTS, LEAF = 1500, 256, 48
 #: Nodes of so few points are kept together in one leaf.
 FEW = 3
-#: Points from which a label's pivots are drawn, about.
-SAMPLE = 1000
-#: Room for rounding in distances of unit vectors; pairs within it of the threshold are computed one by one.
-SLACK = 1e-9
+#: Points drawn for each pivot, about.
+SAMPLE = 8
+#: Room for rounding: distances come from products of unit vectors and are off by up to 2e-8 where they are small. Bounds
+#: within it of the threshold decide nothing; the pairs are then computed one by one.
+SLACK = 1e-6
+#: Bytes of vectors that may be broadcast.
+SMALL = 13_000_000
 
 
 def distance(cosine: float) -> float:
@@ -36,7 +39,8 @@ def distance(cosine: float) -> float:
 
 class CoverTree:
     """Nodes (centre, covering radius, points) in nested levels: a node of radius r has children of radius r/2 at most,
-    whose centres lie more than r/2 apart; a node of few points, or of equal ones, is a leaf."""
+    whose centres lie more than r/2 apart; a node of few points, or of equal ones, is a leaf. Points of a node that have
+    next to no company within r/2 stay on its level, together in one leaf, which the node's own radius covers."""
 
     __slots__ = ("centre", "children", "points", "radius")
 
@@ -165,7 +169,7 @@ def _pivots(pts: DataFrame) -> dict:
     large = {k: n for k, n in counts.items() if n > CELL}
     out = dict.fromkeys(counts)
     if large:
-        share = F.create_map(*[F.lit(v) for k, n in large.items() for v in (k, min(1.0, SAMPLE / n))])
+        share = F.create_map(*[F.lit(v) for k, n in large.items() for v in (k, min(1.0, SAMPLE * max(8, min(PIVOTS, -(-n // CELL))) / n))])
         drawn = pts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.coalesce(share[F.col("label")], F.lit(0.0)) * 1_000_000).select("label", "id", "embedding").toPandas()
         for label, rows in drawn.groupby("label"):
             x = _unit(rows.sort_values("id")["embedding"])
@@ -180,7 +184,7 @@ def _pivots(pts: DataFrame) -> dict:
 def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     """One row per row of df (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Only rows with equal labels are compared. Rows that lack a vec_id, label or usable vector link with nothing. Rows
+    Only rows with equal labels, of any type, are compared. Rows that lack a vec_id, label or usable vector link with nothing. Rows
     with equal vectors link with each other and count one by one; rows that repeat a vec_id count as vectors of their
     own. Vectors of different length in one label raise an error. An empty table gives an empty result; extra columns
     are not read.
@@ -188,6 +192,7 @@ def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark, 2000)
     df = df.select("vec_id", "embedding", "label")
+    label_type = df.schema["label"].dataType.simpleString()
     pts = written(points(df), "near-points")
     pivots = spark.sparkContext.broadcast(_pivots(pts))  # PIVOTS vectors for each label with more than CELL points
     limit = distance(cosine) + SLACK
@@ -204,7 +209,7 @@ def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
                     apart[rows] = 2
             yield pd.DataFrame({"label": x["label"], "id": x["id"], "cell": cell, "apart": apart})
 
-    homes = pts.select("label", "embedding", "id").mapInPandas(home, "label int, id long, cell long, apart double")
+    homes = pts.select("label", "embedding", "id").mapInPandas(home, f"label {label_type}, id long, cell long, apart double")
     cells = homes.groupBy("label", "cell").agg(F.max("apart").alias("radius"), F.count("*").alias("n")).collect()  # bounded like the pivots
     known: dict = {}
     for r in cells:
@@ -214,7 +219,7 @@ def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     def deal(batches):
         """Each point for every pair of units (cell, part) in which it may find a partner."""
         for x in batches:
-            out = []
+            found = []
             for label, rows in x.groupby("label").indices.items():
                 centres, of = pivots.value.get(label), known.value[label]
                 own = x.iloc[rows]
@@ -222,18 +227,21 @@ def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
                 d = np.sqrt(np.maximum(0, 2 - 2 * (unit @ centres.T))) if centres is not None else np.full((len(rows), 1), 2.0)
                 at = d.argmin(1)
                 spread = (own["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                for i in range(len(rows)):
-                    mine = (int(at[i]), int(spread[i] % of[int(at[i])][1]))
-                    for c, (radius, parts) in of.items():
-                        if d[i, c] <= radius + limit:
-                            for p in range(parts):
-                                low, high = sorted([mine, (c, p)])
-                                out.append((label, *low, *high, low == mine, rows[i]))
-            y = pd.DataFrame(out, columns=["label", "a", "pa", "b", "pb", "first", "row"])
-            z = x.iloc[y.pop("row").to_numpy()].reset_index(drop=True)
-            yield y.assign(id=z["id"], weight=z["weight"], embedding=z["embedding"])
-
-    dealt = pts.mapInPandas(deal, f"label int, a long, pa long, b long, pb long, first boolean, id long, weight long, embedding {df.schema['embedding'].dataType.simpleString()}")
+                cells = np.array(sorted(of), np.int64)
+                radius, parts = np.array([of[c][0] for c in cells]), np.array([of[c][1] for c in cells], np.int64)
+                i, j = np.nonzero(d[:, cells] <= radius + limit)
+                count = parts[j]
+                part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                i, c = np.repeat(i, count), np.repeat(cells[j], count)
+                own_cell, own_part = at[i], (spread % parts[np.searchsorted(cells, at)].astype(np.uint64)).astype(np.int64)[i]
+                first = (own_cell < c) | ((own_cell == c) & (own_part <= part))
+                pick = lambda mine, other, first=first: (np.where(first, mine, other), np.where(first, other, mine))
+                (a, b), (pa, pb) = pick(own_cell, c), pick(own_part, part)
+                found.append(x.iloc[rows[i]].assign(a=a, pa=pa, b=b, pb=pb, first=first))
+            if found:
+                yield pd.concat(found)[["label", "a", "pa", "b", "pb", "first", "id", "weight", "embedding"]]
+
+    dealt = pts.mapInPandas(deal, f"label {label_type}, a long, pa long, b long, pb long, first boolean, id long, weight long, embedding {df.schema['embedding'].dataType.simpleString()}")
 
     def pair(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         _, a, pa, b, pb = key
@@ -256,7 +264,9 @@ def near_vectors(df: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     classes = pts.select("label", "embedding", "id", "weight").join(counts, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
     classes = written(classes.select("label", "embedding", "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "near-classes")
-    out = df.join(classes, ["label", "embedding"], "left") if classes.count() > 100_000 else df.join(F.broadcast(classes), ["label", "embedding"], "left")
+    longest = classes.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # equal vectors are a class by themselves, so that the longest join is by the vectors; they are broadcast by their bytes
+    out = df.join(F.broadcast(classes) if rows(classes) * (8 * longest + 64) <= SMALL else classes, ["label", "embedding"], "left")
     none = F.col("id").isNull() | F.col("vec_id").isNull()
     component_id = F.when(none, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))
