@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Base kinds in their order and what their matches must look like. Runs of one class are possessive and
-#: start where the class does, which finds the same leftmost matches without trying again from every character.
+#: start where the class does, which finds the same leftmost matches without trying again from every character. Of the
+#: digits that may be a card only runs of 13 and more are matches at all: a shorter run has no part that is long enough.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must contain for a kind to be looked for.
@@ -29,30 +30,44 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+", "card": ""}
 #: Kinds of candidates beyond the base, in the order in which their spans follow (telephones among the base's).
 CANDIDATES = {
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}[\x20./-][0-9]{3,5}(?![0-9A-Za-z.-])",
-    "secret": r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[0-9A-Za-z-]{16,80}|[0-9a-f]{16,64})(?![0-9A-Za-z_-])",
+    "secret": r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|(?:gh[oprsu]_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}+|[0-9a-f]{16,}+)(?![0-9A-Za-z_-])",
 }
 ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3, "secret": 4}
 #: Words that the context labeler looks for in the WINDOW characters before a candidate; prefixes that the gazetteer knows.
 CONTEXT = {"phone": "tel|phone|call|fax|mobile|telefon|rufen|appel", "secret": "key|token|secret|passw|pwd|auth|credential"}
-GAZETTEER = {"phone": r"^\(?(?:0|1[\x20.-])", "secret": r"^(?:AKIA|ghp_|sk-|xox[bp]-)"}
+GAZETTEER = {"phone": r"^\(?(?:0|1[\x20.-])", "secret": r"^(?:AKIA|gh[oprsu]_|github_pat_|sk-|xox[abprs]-)"}
 SHAPE = {"phone": r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", "secret": r"^(?=.*[0-9])(?=.*[A-Za-z])"}
 WINDOW, ROUNDS, PRIOR = 24, 30, {"phone": 0.3, "secret": 0.5}
 LABELERS = ("shape", "gazetteer", "context")
+#: What the classifier sees of a span besides the votes: a middling length, many digits, upper case.
+FIGURES = ("long", "digits", "upper")
+#: Matches that are placed one after the other at once.
+BLOCK = 128
 
 
 def matches(text: Column, pattern: str, needs: str = "") -> Column:
-    """Array of (start, end, found) of the pattern's matches, in code points, end exclusive."""
+    """Array of (start, end, found) of the pattern's matches, in code points, end exclusive.
+
+    Appending to an array copies it, so places are summed up within blocks of BLOCK matches, and the blocks' ends after."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("all"))
+    kind = "array<struct<start:int,end:int,found:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("all"))
     step = lambda s, x: F.struct(
         (s["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"),
         F.array_append(s["all"], F.struct((s["at"] + F.length(x["b"])).alias("start"), (s["at"] + F.length(x["b"]) + F.length(x["f"])).alias("end"), x["f"].alias("found"))).alias("all"),
     )
-    placed = F.aggregate(F.zip_with(between, found, lambda b, f: F.struct(b.alias("b"), f.alias("f"))), zero, step, lambda s: s["all"])
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    pieces = F.zip_with(between, found, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
+    # a lambda that names the pieces would split the text again for each block: they are made once, as the only element
+    blocks = F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(p) - 1) / BLOCK).cast("int"), F.lit(0))), lambda k: F.aggregate(F.slice(p, k * BLOCK + 1, F.lit(BLOCK)), zero, step)))
+    joined = lambda s, x: F.struct(
+        (s["at"] + x["at"]).alias("at"),
+        F.array_append(s["all"], F.transform(x["all"], lambda y: F.struct((s["at"] + y["start"]).alias("start"), (s["at"] + y["end"]).alias("end"), y["found"].alias("found")))).alias("all"),
+    )
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+    placed = F.flatten(F.aggregate(F.flatten(blocks), none, joined, lambda s: s["all"]))
     may = text.rlike(pattern)
-    return F.when((F.instr(text, needs) > 0) & may if needs else may, placed).otherwise(empty)
+    return F.when((F.instr(text, needs) > 0) & may if needs else may, placed).otherwise(F.array().cast(kind))
 
 
 def digits(x: Column) -> Column:
@@ -91,6 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].rlike(SHAPE[kind]).cast("int").alias("shape"),
                 x["found"].rlike(GAZETTEER[kind]).cast("int").alias("gazetteer"), before.rlike(CONTEXT[kind]).cast("int").alias("context"),
                 F.length(x["found"]).between(17, 40).cast("int").alias("long"),
+                (4 * F.length(digits(x["found"])) >= F.length(x["found"])).cast("int").alias("digits"), x["found"].rlike("[A-Z]").cast("int").alias("upper"),
             )
 
         return vote
@@ -136,13 +152,14 @@ def classifier(rows: list[tuple[tuple[int, ...], float, int]], steps: int = 400)
 
 
 def train(found: DataFrame) -> dict[str, list[float]]:
-    """The classifiers' weights from all candidates: their tally by kind and votes has 32 rows at most."""
-    names = [*LABELERS, "long"]
+    """The classifiers' weights from all candidates: their tally by kind, votes and figures has 128 rows at most."""
+    names = [*LABELERS, *FIGURES]
     tally = found.select(F.explode("more").alias("x")).select("x.*").groupBy("kind", *names).count().collect()
     out = {}
     for kind in CANDIDATES:
         rows = sorted(((tuple(r[n] for n in names), r["count"]) for r in tally if r["kind"] == kind))
         if rows:
+            # a labeler votes on the span, so rows of other figures but the same votes count together
             chance = reliabilities([(v[: len(LABELERS)], n) for v, n in rows], PRIOR[kind])[2]
             out[kind] = classifier([(v, p, n) for (v, n), p in zip(rows, chance, strict=True)])
     return out
@@ -161,7 +178,7 @@ def find(docs: DataFrame) -> DataFrame:
         case = F.lit(False)
         for kind, w in weights.items():
             z = F.lit(w[0])
-            for name, v in zip([*LABELERS, "long"], w[1:], strict=True):
+            for name, v in zip([*LABELERS, *FIGURES], w[1:], strict=True):
                 z = z + x[name] * v
             case = F.when(x["kind"] == kind, z > 0).otherwise(case)
         return case
