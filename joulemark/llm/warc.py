@@ -8,7 +8,8 @@ carried on to the slices after, so no task needs all records of an address.
 
 from __future__ import annotations
 
-import gzip
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Time slices of an address at most.
-SLICES = 1024
+#: Time slices, of about as many records each; compressed bytes that are read on at once.
+SLICES, CHUNK = 256, 1 << 16
+#: Bytes of payloads that a worker returns at once, about.
+BYTES = 32_000_000
 #: What a 304 may not change in a stored response: figures of the body, and headers of one connection.
 KEPT = ("content-length", "content-encoding", "content-type", "content-range", "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 #: Parameters that only track where a visitor came from.
@@ -46,15 +49,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     verdict is `resolved`, `changed` (a validator that both carry differs: entity tag, else last-modified, else payload
     digest; response_id names the response but headers stay the revisit's) or `unresolved` (no earlier response, or no
     date or URL). A response is full with status 200; of equal dates the larger record_id is later, and a response of a
-    revisit's own date is not earlier. Header names count in lower case. Records of other types are not returned;
+    revisit's own date is not earlier. Header names count in lower case; of names that are then equal the last one
+    in the order of their bytes counts (Etag before etag).
+    Records of other types are not returned;
     repeated rows are rows of their own; an empty table gives an empty result; extra columns are not read.
     """
-    lower = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    lower = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.reverse(F.transform(entries, lambda x: x["key"])), e["key"]) == F.size(entries) - i))
     own = records.select("record_id", canonical_url(F.col("url")).alias("key"), "date", (F.col("type") == "response").alias("full"), "status", "type", "digest", lower.alias("headers"))
     own = written(own.where((F.col("full") & (F.col("status") == 200)) | (F.col("type") == "revisit")).select("record_id", "key", "date", "full", "digest", "headers"), "warc-records")
-    span = own.agg(F.min(F.unix_micros("date")).alias("a"), F.max(F.unix_micros("date")).alias("b")).first()
-    low, width = span["a"] or 0, max(1, ((span["b"] or 0) - (span["a"] or 0)) // SLICES + 1)
-    known = own.where("key is not null and date is not null").withColumn("slice", F.expr(f"(unix_micros(date) - {low}L) div {width}L"))
+    # slices end at quantiles of all dates, so that one far date, or a busy hour, changes nothing
+    steps = [k / SLICES for k in range(1, SLICES)]
+    ends = own.agg(F.percentile_approx(F.unix_micros("date"), steps)).first()[0] or []
+    slice_ = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda b: b < F.unix_micros("date"))) if ends else F.lit(0)
+    known = own.where("key is not null and date is not null").withColumn("slice", slice_)
 
     # the last response of each slice, and of all slices before it
     last = known.where("full").groupBy("key", "slice").agg(F.max(F.struct("date", "record_id")).alias("last"))
@@ -82,38 +90,85 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return out.select("record_id", "key", F.col("_at.record_id").alias("response_id"), verdict.alias("verdict"), F.when(verdict == "resolved", merged).otherwise(F.col("headers")).alias("headers"))
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """A file's bytes: as they are, or unpacked gzip member by member. What follows a broken member is looked for at the
+    next member's first bytes."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at, begin, open_, out = memoryview(data), 0, 0, zlib.decompressobj(31), []
+    while at < len(data):
+        chunk = view[at : at + CHUNK]
+        try:
+            out.append(open_.decompress(chunk))
+        except zlib.error:
+            yield b"".join(out)
+            at = data.find(b"\x1f\x8b\x08", begin + 1)
+            if at < 0:
+                return
+            begin, open_, out = at, zlib.decompressobj(31), []
+            continue
+        at += len(chunk)
+        if open_.eof:
+            at -= len(open_.unused_data)
+            yield b"".join(out)
+            begin, open_, out = at, zlib.decompressobj(31), []
+    yield b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped (member by member), as SCHEMA has them, and the payload."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict(line.split(":", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-        head = {k.strip().lower(): v.strip() for k, v in head.items()}
-        size = int(head.get("content-length", 0))
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        kind = head.get("warc-type")
-        if kind in ("response", "revisit"):
-            http, _, payload = block.partition(b"\r\n\r\n")
-            lines = http.decode("latin-1").split("\r\n")
-            status = lines[0].split(" ")[1] if lines[0].startswith("HTTP/") and " " in lines[0] else ""
-            headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
-            yield {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "type": kind, "status": int(status) if status.isdigit() else None, "headers": headers, "digest": head.get("warc-payload-digest"), "payload": payload}
+    """Records of a WARC file, plain or gzipped, as SCHEMA has them, and the payload. A record whose bytes end too early
+    is left out; those after it are found. Repeated HTTP headers: the last one counts."""
+    rest = b""
+    for part in _members(data):
+        rest += part
+        at = 0
+        while (begin := rest.find(b"WARC/1", at)) >= 0:
+            end = rest.find(b"\r\n\r\n", begin)
+            if end < 0:
+                break
+            head = dict(line.split(":", 1) for line in rest[begin:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+            head = {k.strip().lower(): v.strip() for k, v in head.items()}
+            size = int(n) if (n := head.get("content-length", "0")).isdigit() else 0
+            if end + 4 + size > len(rest):
+                # it may go on in the next member; another record that begins there means that it does not
+                if rest.find(b"\r\nWARC/1", end) < 0:
+                    break
+                at = end
+                continue
+            if record := _record(head, rest[end + 4 : end + 4 + size]):
+                yield record
+            at = begin = end + 4 + size
+        rest = rest[at if begin < 0 else begin :] if begin >= 0 else rest[max(at, len(rest) - 6) :]
+
+
+def _record(head: dict, block: bytes) -> dict | None:
+    kind = head.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    lines = http.decode("latin-1").split("\r\n")
+    status = lines[0].split(" ")[1] if lines[0].startswith("HTTP/") and " " in lines[0] else ""
+    headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
+    return {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "type": kind, "status": int(status) if status.isdigit() else None, "headers": headers, "digest": head.get("warc-payload-digest"), "payload": payload}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of the WARC files under path, with their payloads."""
+    """The response and revisit records of the WARC files under path, with their payloads. A file is read as one binary
+    value, of 2 GB at most (compressed), and unpacked and returned record by record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for content in x["content"]:
-                if rows := list(parse_warc(bytes(content))):
-                    out = pd.DataFrame(rows)
-                    yield out.assign(date=pd.to_datetime(out["date"], utc=True, errors="coerce"))
+                records, held, size = parse_warc(bytes(content)), [], 0
+                for record in itertools.chain(records, [None]):
+                    if record is not None:
+                        held.append(record)
+                        size += len(record["payload"])
+                    if held and (record is None or size > BYTES or len(held) >= 1000):
+                        out = pd.DataFrame(held)
+                        yield out.assign(date=pd.to_datetime(out["date"], utc=True, errors="coerce"))
+                        held, size = [], 0
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, SCHEMA + ", payload binary")
