@@ -239,6 +239,9 @@ def test_near_vectors(spark, monkeypatch):
         out = {x["vec_id"]: x for x in near_vectors.near_vectors(df).collect()}
         assert {i: (x["n_links"], x["component_id"]) for i, x in out.items()} == {i: (len(links[i]), expected[i]) for i in range(len(rows))}
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
+    named = df.where("vec_id < 60").withColumn("label", F.concat(F.lit("kind "), F.col("label").cast("string")))
+    plain = {tuple(x) for x in near_vectors.near_vectors(df.where("vec_id < 60")).collect()}
+    assert {tuple(x) for x in near_vectors.near_vectors(named).collect()} == plain
 
 
 def test_cover_tree_levels():
@@ -253,6 +256,8 @@ def test_cover_tree_levels():
         if node.children:
             assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
             for c in node.children:
+                # half the radius, but for what no level holds together
+                assert c.radius <= node.radius / 2 + 1e-7 or not c.children
                 check(c)
 
     assert tree.children
@@ -270,6 +275,46 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_base_is_the_patterns(spark):
+    """Against the contract's patterns, matched one after the other in Python, with the checks written out."""
+    import re
+
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def fine(kind, x):
+        d = [int(c) for c in x if c.isdigit() and c.isascii()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            return 13 <= len(d) <= 19 and sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(reversed(d))) % 10 == 0
+        return kind != "phone" or 9 <= len(d) <= 15
+
+    r = random.Random(11)
+    texts = ["".join(r.choices("aB.@1+ -()é_9%0", k=r.randint(0, 60))) for _ in range(1500)] + ["".join(r.choices("0123456789 -", weights=[9] * 10 + [2, 2], k=r.randint(10, 50))) for _ in range(800)]
+    texts += [" ".join(f"u{i}@h{i}.org 10.0.{i % 256}.1 4111 1111 1111 1111 +49 30 1234567{i % 10} é" for i in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for row in pii.find(df).select("doc_id", *pii.KINDS).collect():
+        for kind, pattern in patterns.items():
+            expected = [m.span() for m in re.finditer(pattern, texts[row["doc_id"]]) if fine(kind, m[0])]
+            assert [(x["start"], x["end"]) for x in row[kind]] == expected, (kind, texts[row["doc_id"]][:200])
+
+
+def test_pii_finds_planted_secrets(spark):
+    r = random.Random(12)
+    rows, planted = [], {}
+    for i in range(300):
+        key = r.choice(["AKIA" + "".join(r.choices("ABCDEFGH234567", k=16)), "ghp_" + "".join(r.choices("abcXYZ0189", k=36)), "sk-proj-" + "".join(r.choices("abc_XYZ0189", k=120)), "github_pat_" + "".join(r.choices("abcXYZ_0189", k=60))])
+        text = f"the {r.choice(['key', 'token', 'secret'])} = {key} is set" if i % 3 == 0 else " ".join(r.choices(["plain", "words", "of", "prose", "0123456789abcdef0"[: r.randint(2, 12)]], k=20))
+        rows.append((i, text))
+        if i % 3 == 0:
+            planted[i] = (text.index(key), text.index(key) + len(key))
+    out = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == "secret"] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == ([planted[i]] if i in planted else []) for i in out)
+
+
 def test_reliabilities_find_the_good_labelers():
     r = random.Random(6)
     tally = collections.Counter()
@@ -347,6 +392,13 @@ def test_html_gradients():
             assert g[name][at] == pytest.approx((high - low) / (2 * e), rel=0.05, abs=1e-3)
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ('<p>one <a href="foo>two</a> three</p>', ["one two three"]), ("<p>one <b class='x>two</b></p><p>three</p>", ["one two", "three"]), ('<p title="a>b">one</p>', ["one"]), ("<p>1 < 2 and 3</p>", ["1 < 2 and 3"]),
+])
+def test_html_unclosed_quotes(page, texts):
+    assert [t for t, *_ in html_text.blocks(page)] == texts
+
+
 def test_html_tables(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>A b c.</p></article>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     out = html_text.extract(df).collect()
@@ -380,8 +432,33 @@ def test_warc(spark, tmp_path):
     assert warc.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_warc_repeated_headers_and_truncated_files(spark, tmp_path):
+    import gzip
+
+    rows = [("r", "http://a.com/", 10, "response", 200, {"ETag": "old", "etag": "1", "X": "y"}, None), ("v", "http://a.com/", 20, "revisit", 304, {"Etag": "1", "ETAG": "0"}, None)]
+    df = spark.createDataFrame(rows, "record_id string, url string, s long, type string, status int, headers map<string,string>, digest string").withColumn("date", F.timestamp_seconds("s"))
+    out = warc.resolve_revisits(df).collect()[0]
+    assert (out["response_id"], out["verdict"]) == ("r", "resolved") and out["headers"] == {"etag": "1", "x": "y"}
+
+    def record(ident, body):
+        http = b"HTTP/1.1 200 OK\r\nA: 1\r\nA: 2\r\n\r\n" + body
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {ident}\r\nWARC-Target-URI: u\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+    made = [record(f"r{i}", bytes(random.Random(i).randrange(256) for _ in range(5000))) for i in range(4)]
+    packed = [gzip.compress(x) for x in made]
+    (tmp_path / "whole.warc.gz").write_bytes(b"".join(packed))
+    assert [x["record_id"] for x in warc.parse_warc(b"".join(packed))] == ["r0", "r1", "r2", "r3"]
+    assert [x["record_id"] for x in warc.parse_warc(b"".join(made))] == ["r0", "r1", "r2", "r3"]
+    assert [x["record_id"] for x in warc.parse_warc(gzip.compress(b"".join(made)))] == ["r0", "r1", "r2", "r3"]
+    cut = packed[0] + packed[1][:3000] + packed[2] + packed[3][:-30]
+    assert [x["record_id"] for x in warc.parse_warc(cut)] == ["r0", "r2"]
+    (tmp_path / "cut.warc.gz").write_bytes(cut)
+    found = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(x["record_id"] for x in found) == ["r0", "r0", "r1", "r2", "r2", "r3"] and all(x["headers"] == {"a": "2"} and len(x["payload"]) == 5000 for x in found)
+
+
 def test_revisits_across_slices(spark):
-    r, rows = random.Random(8), []
+    r, rows = random.Random(8), [("far", "http://a.com/", -10**9, "response", 200, None, None), ("late", "http://a.com/", 10**10, "response", 200, None, None)]
     for i in range(400):
         rows.append((f"{i:04d}", "http://a.com/", r.randrange(10_000), r.choice(["response", "revisit"]), 200, None, None))
     df = spark.createDataFrame(rows, "record_id string, url string, s long, type string, status int, headers map<string,string>, digest string").withColumn("date", F.timestamp_seconds("s"))
