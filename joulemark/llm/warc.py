@@ -91,8 +91,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def _members(data: bytes) -> Iterator[bytes]:
-    """A file's bytes: as they are, or unpacked gzip member by member. What follows a broken member is looked for at the
-    next member's first bytes."""
+    """A file's bytes: as they are, or unpacked gzip member by member. A member whose bytes are wrong gives nothing, as any
+    of them may be, and what follows is looked for at the next member's first bytes; the last one may end too early."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
@@ -102,7 +102,6 @@ def _members(data: bytes) -> Iterator[bytes]:
         try:
             out.append(open_.decompress(chunk))
         except zlib.error:
-            yield b"".join(out)
             at = data.find(b"\x1f\x8b\x08", begin + 1)
             if at < 0:
                 return
