@@ -58,6 +58,18 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
+class _Words(dict):
+    """Ids by unit; those of a unit that is not known yet are found when it is looked up."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = self.find(unit)
+        return ids
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes, word by word from memory.
 
@@ -76,7 +88,7 @@ class Encoder:
         self.added = {k: array.array("I", [i]).tobytes() for k, (i, _) in added.items()}
         # of those that begin at one place the longest counts
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.word)
         self.pieces: dict[str, bytes] = {}
         # byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,6 +96,10 @@ class Encoder:
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def word(self, word: str) -> bytes:
+        space = word[0] == " "
+        if (bare := word[1:] if space else word).isalpha():  # letters are one piece, with the space before them
+            letters = (self.letters[32] + bare if space else word) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return array.array("I", [x.id for x in self.model(letters)]).tobytes()
         out, pieces = [], self.pieces
         for piece in self.split(word):
             if (ids := pieces.get(piece)) is None:
@@ -106,11 +122,7 @@ class Encoder:
             words.clear()
         if len(self.pieces) > WORDS // 3:
             self.pieces.clear()
-        units = UNITS.findall(text)
-        for u in units:
-            if u not in words:
-                words[u] = self.word(u)
-        return b"".join(map(words.__getitem__, units))
+        return b"".join(map(words.__getitem__, UNITS.findall(text)))
 
 
 @functools.cache
