@@ -444,7 +444,7 @@ def test_warc_repeated_headers_and_truncated_files(spark, tmp_path):
         http = b"HTTP/1.1 200 OK\r\nA: 1\r\nA: 2\r\n\r\n" + body
         return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {ident}\r\nWARC-Target-URI: u\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
 
-    made = [record(f"r{i}", bytes(random.Random(i).randrange(256) for _ in range(5000))) for i in range(4)]
+    made = [record(f"r{i}", random.Random(i).randbytes(5000)) for i in range(4)]
     packed = [gzip.compress(x) for x in made]
     (tmp_path / "whole.warc.gz").write_bytes(b"".join(packed))
     assert [x["record_id"] for x in warc.parse_warc(b"".join(packed))] == ["r0", "r1", "r2", "r3"]
