@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, lookup, new_path, remove, rows, written
+from .common import discard, exists, free_name, lookup, new_path, remove, rows, written
 
 #: The state store, without room laid out in advance: there is a small store for each partition. Old versions go early.
 STATE = {
@@ -60,12 +60,7 @@ def digest_stream(spark: SparkSession, state: str, files_per_batch: int = 1000)
 
 def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
     """A Parquet table of the state; empty where there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _groups(spark: SparkSession, state: str) -> DataFrame:
