@@ -6,8 +6,8 @@ the others go on as single items, and a tree of rounds merges the items of ever
 
 from __future__ import annotations
 
-import array
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,12 +24,10 @@ from .common import small_batches, written
 CAPACITY, FAN, TOLERANCE = 2048, 8, 8
 #: A round's task holds so many items at most; a round that would leave more in its last group deals them into several.
 ITEMS = 200_000
-#: Distinct words whose ids a worker remembers.
-WORDS = 300_000
-#: Unicode's white space, and the pattern by which byte-level BPE splits texts. No token crosses from one of UNITS into the next.
+#: Unicode's white space, and the pattern by which byte-level BPE splits texts. Of BLANKS the last goes with what follows.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+BLANKS = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
@@ -58,58 +56,49 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-class _Words(dict):
-    """Ids by unit; those of a unit that is not known yet are found when it is looked up."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = self.find(unit)
-        return ids
+def numbered_bytes(tokenizer) -> dict[bytes, int] | None:
+    """Tokens of a byte-level BPE that splits texts by PATTERN and numbers tokens in the order of their merges, as bytes; None for any other tokenizer."""
+    spec = json.loads(tokenizer.to_str())
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if model.get("type") != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    # byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+    vocab = {k: i for k, i in model["vocab"].items() if k not in {t["content"] for t in spec["added_tokens"]}}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in merged or merged != sorted(set(merged)) or len(merged) + 256 != len(vocab) or not all(k in vocab for k in byte):
+        return None
+    if any(len(tokenizer.model.tokenize(k)) != 1 for k in vocab):  # a token that no merges lead to
+        return None
+    return {bytes(map(byte.__getitem__, k)): i for k, i in vocab.items()}
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, word by word from memory.
+    """Ids of a text as little-endian 32-bit bytes, as the tokenizer's encode without a template's tokens.
 
-    ids() first splits a text at the tokenizer's added tokens; encode() takes what lies between, all of it as ordinary text. For byte-level BPE that splits by PATTERN, whose tokens never cross from one of UNITS into the next.
+    ids() first splits a text at the tokenizer's added tokens; encode() takes what lies between, all of it as ordinary text. A byte-level BPE is run by tiktoken, which gives the same ids without an object for each; any other tokenizer encodes by itself.
     """
 
     def __init__(self, path: str):
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.model, self.split = tokenizer.model.tokenize, regex.compile(PATTERN).findall
-        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
-        if any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
-            raise ValueError("added tokens that heed or take what stands beside them are not known here")
-        self.added = {k: array.array("I", [i]).tobytes() for k, (i, _) in added.items()}
+        self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        heedless = not any(t.single_word or t.lstrip or t.rstrip for _, t in added.values())
+        ranks = numbered_bytes(self.tokenizer) if heedless else None
+        self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.added = {k: np.array([i], "<u4").tobytes() for k, (i, _) in added.items()}
         # of those that begin at one place the longest counts
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.words = _Words(self.word)
-        self.pieces: dict[str, bytes] = {}
-        # byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-    def word(self, word: str) -> bytes:
-        space = word[0] == " "
-        if (bare := word[1:] if space else word).isalpha():  # letters are one piece, with the space before them
-            letters = (self.letters[32] + bare if space else word) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            return array.array("I", [x.id for x in self.model(letters)]).tobytes()
-        out, pieces = [], self.pieces
-        for piece in self.split(word):
-            if (ids := pieces.get(piece)) is None:
-                found = self.model(piece.encode().decode("latin-1").translate(self.letters))
-                ids = pieces[piece] = array.array("I", [x.id for x in found]).tobytes()
-            out.append(ids)
-        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
-        """As the tokenizer's encode without a template's tokens."""
+        if self.bpe is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out, at = [], 0
         for m in self.cut.finditer(text) if self.cut else ():
             out += self.encode(text[at : m.start()]), self.added[m[0]]
@@ -117,17 +106,17 @@ class Encoder:
         return b"".join([*out, self.encode(text[at:])]) if out else self.encode(text)
 
     def encode(self, text: str) -> bytes:
-        words = self.words
-        if len(words) > WORDS:
-            words.clear()
-        if len(self.pieces) > WORDS // 3:
-            self.pieces.clear()
-        return b"".join(map(words.__getitem__, UNITS.findall(text)))
+        find = functools.partial(self.bpe.encode_to_numpy, allowed_special=set(), disallowed_special=())
+        try:
+            return find(text).astype("<u4", copy=False).tobytes()
+        except ValueError:  # blanks beyond what its pattern can go back over, before a word
+            ends = [0, *(m.end() - 1 for m in BLANKS.finditer(text)), len(text)]
+            return b"".join(find(text[a:b]).astype("<u4", copy=False).tobytes() for a, b in zip(ends, ends[1:], strict=False))
 
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """A worker process keeps it, with the words that it knows."""
+    """A worker process keeps it."""
     return Encoder(path)
 
 

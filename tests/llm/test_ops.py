@@ -473,7 +473,6 @@ def test_packing(spark, corpus, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     out = packing.pack(docs).toPandas()
     text = {i: x or "" for i, x, *_ in corpus}
     assert set(out["doc_id"]) == set(text)
@@ -493,8 +492,30 @@ def test_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    assert packing.encoder(packing.default_tokenizer()).encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.encoder(packing.default_tokenizer()).ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_of_all_characters_and_of_long_runs():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    assert e.bpe is not None
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1 {c}{c} \n" for c in chars[k : k + 512]) for k in range(0, len(chars), 512)]
+    texts += [" " * 1_000_000 + "x\n" + "\n " * 400_000 + "y z     ", "a" * 200_000, "é" * 100_000, "0" * 100_000, "\n" * 300_000, "?!" * 100_000]
+    for x in texts:
+        assert e.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_tokenizers_of_other_kinds_encode_by_themselves(corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), packing.encoder(path)
+    assert e.bpe is None
+    for _, x, *_ in corpus[:40]:
+        assert e.ids(x or "") == np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_added_tokens_are_the_tokenizers(spark):
