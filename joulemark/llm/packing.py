@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-CAPACITY, FAN, TOLERANCE = 2048, 8, 8
+CAPACITY, FAN = 2048, 8
+#: A bin that has no more than this free is nearly full, in every round alike.
+TOLERANCE = 8
 #: A round's task holds so many items at most; a round that would leave more in its last group deals them into several.
 ITEMS = 200_000
 #: Unicode's white space, and the pattern by which byte-level BPE splits texts. Of BLANKS the last goes with what follows.
@@ -171,10 +173,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         return pd.DataFrame({"bin": own, "into": first[bins], "shift": offsets, "fill": fill[bins]})
 
     items = pieces.where(F.col("offset") == 0).select("bin", "fill")
-    moves, tolerance, level = None, TOLERANCE, 0
+    moves, level = None, 0
     while parts > 1:
         level, parts = level + 1, -(-parts // FAN)
-        items = written(items.where(F.col("fill") <= capacity - tolerance), "pack-items")
+        items = written(items.where(F.col("fill") < capacity - TOLERANCE), "pack-items")
         if not (n := items.count()):
             break
         group = F.shiftrightunsigned("bin", 32) / F.lit(FAN**level)
@@ -188,7 +190,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             moved = moves.join(later, "into", "left").select("bin", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
             moves = written(moved.unionByName(step), "pack-moves")
         items = merged.where("bin = into").select("bin", "fill")
-        tolerance = min(tolerance * 6, capacity // 3)
     if moves is None:
         moves = spark.createDataFrame([], "bin long, into long, shift long")
     return pieces.join(moves, "bin", "left").select(
