@@ -24,7 +24,7 @@ LEAST = 6
 #: Labelled documents of a language that are sampled (expected number), the bytes of such a document at most, and languages at most.
 SAMPLE, LONGEST, LANGUAGES = 250, 100_000, 200
 #: Bytes scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 
 class ContextTrees:
