@@ -89,11 +89,12 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
         heedless = not any(t.single_word or t.lstrip or t.rstrip for _, t in added.values())
-        ranks = numbered_bytes(self.tokenizer) if heedless else None
+        ranks = numbered_bytes(tokenizer) if heedless else None
         self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.tokenizer = None if self.bpe else tokenizer  # a worker keeps one of them
         self.added = {k: np.array([i], "<u4").tobytes() for k, (i, _) in added.items()}
         # of those that begin at one place the longest counts
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
