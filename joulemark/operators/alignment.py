@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,7 +214,8 @@ def merge_data_list(
 
 
 def union_partitions(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts: str = TS) -> list[DataFrame]:
-    """Frames with the same set of columns one below the other, for each set. A time that two of them have is an error."""
+    """Frames with the same set of columns one below the other, for each set. A time that two of them have is an error; one
+    that a frame repeats by itself is not, its rows all stay."""
     groups: dict[frozenset, list[DataFrame]] = {}
     for df in frames:
         groups.setdefault(frozenset(df.columns), []).append(df)
@@ -222,8 +224,11 @@ def union_partitions(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts
         df = own[0]
         for more in own[1:]:
             df = df.unionByName(more)
-        if len(own) > 1 and not df.groupBy(*keys, ts).count().where("count > 1").isEmpty():
-            raise ValueError("partitions overlap in time")
+        if len(own) > 1:
+            times = reduce(DataFrame.union, (x.select(*keys, ts, F.lit(k).alias("_part")) for k, x in enumerate(own)))
+            both = times.groupBy(*keys, ts).agg(F.min("_part").alias("_first"), F.max("_part").alias("_last")).where("_first < _last")
+            if not both.isEmpty():
+                raise ValueError("partitions overlap in time")
         out.append(df)
     return out
 

@@ -328,7 +328,8 @@ def lookup_rows(spark, sf):
 @query("SELECT site_id, ts, value FROM ev")
 def union_partitions(spark, sf):
     e = events(spark, sf)
-    parts = [e.where(F.pmod(F.hour("ts"), F.lit(3)) == k).select(*c) for k, c in enumerate((("site_id", "ts", "value"), ("value", "ts", "site_id"), ("ts", "site_id", "value")))]
+    part = F.coalesce(F.pmod(F.hour("ts"), F.lit(3)), F.lit(0))  # rows without a time stay too
+    parts = [e.where(part == k).select(*c) for k, c in enumerate((("site_id", "ts", "value"), ("value", "ts", "site_id"), ("ts", "site_id", "value")))]
     return alignment.union_partitions(parts)[0]
 
 

@@ -182,6 +182,13 @@ def test_partitions(spark):
         alignment.validate_partitions([a, frame(spark, [("01:00:00", 2.0)], "other")])
 
 
+def test_partitions_that_repeat_a_time_of_their_own(spark):
+    a, b = frame(spark, [("00:00:00", 1.0), ("00:00:00", 2.0)]), frame(spark, [("01:00:00", 3.0)])
+    assert sorted(values(alignment.union_partitions([a, b])[0])) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        alignment.union_partitions([a, b, frame(spark, [("00:00:00", 4.0)])])
+
+
 def test_split_and_rounding(spark):
     df = features.time_split(frame(spark, [(f"{h:02d}:00:00", 1.0) for h in range(11)]))
     assert sum(r["validation"] for r in df.collect()) == 3

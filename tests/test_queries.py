@@ -31,6 +31,13 @@ def test_same_as_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(SQL[name]).df())
 
 
+def test_union_partitions_on_repeated_events(spark, tmp_path):
+    duck = duckdb.connect()
+    more = f"SELECT event_id + 1000 * k AS event_id, CASE WHEN event_id % 100 > 0 THEN ts END AS ts, user_id + 400 * k AS user_id, event_type, value, props FROM '{DATA}/events.parquet', range(3) r(k)"
+    duck.execute(f"COPY ({more}) TO '{tmp_path}/events.parquet'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert rows(QUERIES["union_partitions"](spark, str(tmp_path)).toPandas()) == rows(duck.execute(SQL["union_partitions"]).df())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
