@@ -19,6 +19,9 @@ BROADCAST_ROWS = 200_000
 #: Edges that a task contracts at once, about.
 FOREST = 100_000
 
+#: How Python workers allocate: a worker outlives its task, and would keep the most that it ever held.
+FREED = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
 _ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -75,9 +78,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files and broadcasts of queries that have been written go when the driver collects its garbage; now."""
+    """Shuffle files and broadcasts of queries that have been written go when the driver collects its garbage; now. The
+    executors collect theirs too: a heap that one step has grown is given back, and not held beside the next step's workers."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        n = sc.defaultParallelism  # as many tasks as there are cores reach all executors that are free
+        spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
 def free_name(name: str, *taken: Iterable[str]) -> str:
@@ -91,8 +99,9 @@ def free_name(name: str, *taken: Iterable[str]) -> str:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds at once, also where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    # workers find this package also where the session was begun elsewhere
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    # workers find this package also where the session was begun elsewhere, and give back what they have freed
+    for name, value in ({"PYTHONPATH": str(Path(__file__).resolve().parents[2])} | FREED).items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: int | None = None) -> DataFrame:

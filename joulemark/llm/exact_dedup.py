@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import discard, exists, free_name, lookup, new_path, remove, rows, written
 
-#: The state store, without room laid out in advance: there is a small store for each partition. Old versions go early.
+#: The state store, without room laid out in advance: there is a small store for each partition, which is closed as soon as
+#: its task has ended, so that an executor never holds those of all its partitions. Old versions go early.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 KEY = "digest binary, doc_id bigint, call string, row bigint, file string, at bigint"
 GROUP = "digest binary, keep struct<doc_id:bigint,call:string,row:bigint,file:string,at:bigint>, n bigint"

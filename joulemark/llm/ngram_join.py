@@ -467,9 +467,14 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     classes = written(own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "ngram-classes")
     levels = _levels(found)
     prefixes = _prefixes(docs.where("doc_id is not null"), levels, words, percent)
-    prefixes = prefixes.where("n > 0").join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # those that stand for no class go; the others, nearly all, need not be shuffled for it
+    copies = own.where("n > 0 and doc_id is not null").select("doc_id").join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_anti").distinct()
+    copies = written(copies, "ngram-copies")
+    prefixes = lookup(prefixes.where("n > 0"), copies, "doc_id", "left_anti")
     prefixes = prefixes.select(F.monotonically_increasing_id().alias("set"), F.col("doc_id").alias("cls"), "n", "bits", "wide", "prefix", F.size("prefix").alias("known"), F.element_at("prefix", -1).alias("last"))
     prefixes = written(prefixes, "ngram-prefixes")
+    discard(copies)
+    release(spark)
     wide = prefixes.where("wide is not null").select("cls", "wide")
     posts, most = _posts(prefixes, percent)
 

@@ -3,6 +3,7 @@
 import collections
 
 import itertools
+import os
 import random
 import zlib
 
@@ -565,6 +566,24 @@ def test_ngram_odd_tables(spark):
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(twice).collect()} == {(5, 3), (3, 3), (9, 3)}
 
 
+def test_ngram_prefixes_are_not_shuffled_for_a_few_copies(spark, docs, monkeypatch):
+    plans, write = {}, ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.ngram_components(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans["ngram-prefixes"] and "hashpartitioning(doc_id" not in plans["ngram-prefixes"]
+
+
+def test_workers_give_back_what_they_freed(spark):
+    common.small_batches(spark)
+    names = list(common.FREED)
+    found = spark.range(1).mapInPandas(lambda batches: (x.assign(v=[",".join(os.environ.get(n, "") for n in names)]) for x in batches), "id long, v string")
+    assert found.first()["v"].split(",") == list(common.FREED.values())
+
+
 def test_prefix_tree_prunes_but_loses_nothing():
     r = np.random.default_rng(9)
     base = np.unique(r.integers(0, 10**6, 120))
